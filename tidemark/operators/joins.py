@@ -9,10 +9,13 @@ from .frames import names
 
 
 def _bucket(c, days):
+    """Time bucket; below one day it is cut from the instant instead of the date."""
+    if days < 1:
+        return F.floor(F.unix_seconds(c.cast("timestamp")) / int(days * 86400))
     return F.floor(F.unix_date(c.cast("date")) / days)
 
 
-def range_join(points: DataFrame, spans: DataFrame, point: str, start: str, end: str, by=(), *, bucket_days: int = 30,
+def range_join(points: DataFrame, spans: DataFrame, point: str, start: str, end: str, by=(), *, bucket_days: float = 30,
                open_end: bool = False, how: str = "inner") -> DataFrame:
     """Points inside [start, end] (``open_end``: [start, end), missing end = no end).
 
@@ -25,18 +28,18 @@ def range_join(points: DataFrame, spans: DataFrame, point: str, start: str, end:
     if open_end:
         stop = F.coalesce(stop, points.agg(F.max(point)).scalar())
     lo, hi = _bucket(F.col(start), bucket_days), _bucket(stop, bucket_days)
-    s = spans.filter(lo <= hi).withColumn("_b", F.explode(F.sequence(lo, hi))).select(*by, "_b", *right)
-    p = points.withColumn("_b", _bucket(F.col(point), bucket_days))
-    s = s.withColumnsRenamed({b: f"_s_{b}" for b in [*by, "_b"]})
-    keys = [F.col(b) == F.col(f"_s_{b}") for b in [*by, "_b"]]
+    s = spans.filter(lo <= hi).withColumn("_bkt", F.explode(F.sequence(lo, hi))).select(*by, "_bkt", *right)
+    p = points.withColumn("_bkt", _bucket(F.col(point), bucket_days))
+    s = s.withColumnsRenamed({b: f"_s_{b}" for b in [*by, "_bkt"]})
+    keys = [F.col(b) == F.col(f"_s_{b}") for b in [*by, "_bkt"]]
     before = F.col(end).isNull() | (F.col(point) < F.col(end)) if open_end else F.col(point) <= F.col(end)
     on = (F.col(point) >= F.col(start)) & before
     for k in keys:
         on = on & k
     joined = p.join(s, on, how)
     if how in ("left_semi", "left_anti"):
-        return joined.drop("_b")
-    return joined.drop("_b", *[f"_s_{b}" for b in [*by, "_b"]])
+        return joined.drop("_bkt")
+    return joined.drop("_bkt", *[f"_s_{b}" for b in [*by, "_bkt"]])
 
 
 def prefer_left(a: DataFrame, b: DataFrame, key, value: str, *, scale=1.0, tags=("first", "second")) -> DataFrame:

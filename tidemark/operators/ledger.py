@@ -83,7 +83,7 @@ def score_forecasts(ledger: DataFrame, bars: DataFrame, now) -> DataFrame:
             F.col("actual_return") > F.col("band"), 2).otherwise(1)),
     })
     total = F.col("p_down") + F.col("p_flat") + F.col("p_up")
-    usable = F.col("actual_class").isNotNull() & (total > 0) & (F.least("p_down", "p_flat", "p_up") >= 0)
+    usable = F.col("actual_class").isNotNull() & (total > 0) & (F.col("p_down") >= 0) & (F.col("p_flat") >= 0) & (F.col("p_up") >= 0)
     p = F.array(*[F.col(c) / total for c in prob.P3])
     y = F.col("actual_class")
     j = j.withColumns({
