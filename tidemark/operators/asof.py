@@ -95,10 +95,10 @@ def asof_with_expiry(left, right, left_time, available, expires, by, values, chu
     return joined.select(*left.columns, *[F.when(alive, F.col(v)).alias(v) for v in names(values)])
 
 
-def version_spans(versions: DataFrame, key, observed: str) -> DataFrame:
+def version_spans(versions: DataFrame, key, observed: str, chunk_days: int = 365) -> DataFrame:
     """Bitemporal rows with the time the next version replaced them (exclusive; missing for the newest)."""
-    w = Window.partitionBy(*names(key)).orderBy(observed)
-    return versions.withColumn("valid_to", F.lead(observed).over(w))
+    later = versions.select(*names(key), F.col(observed).alias("valid_to"))
+    return asof_join(versions, later, observed, "valid_to", key, ["valid_to"], strict=True, forward=True, chunk_days=chunk_days)
 
 
 def known_at(versions: DataFrame, decisions: DataFrame, key, observed: str, decision: str, by=(), bucket_days=120):

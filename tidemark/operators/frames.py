@@ -86,3 +86,14 @@ def pick_first(df, keys, order):
     """One row per key, the first in ``order`` (which must end in a unique column)."""
     w = Window.partitionBy(*names(keys)).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+
+def numbered(df, by, time: str, tie=(), out: str = "number", chunk_days: int = 365):
+    """Row number per key without one task per key: numbers inside (key, chunk) plus the rows of earlier chunks."""
+    by = names(by)
+    f = df.withColumn("_c", F.floor(F.unix_date(F.col(time).cast("date")) / chunk_days))
+    sizes = f.groupBy(*by, "_c").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.withColumn("_off", F.coalesce(before, F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*by, "_c").orderBy(time, *names(tie)))
+    return f.withColumn("_in", inside).join(offsets, [*by, "_c"]).withColumn(out, F.col("_off") + F.col("_in")).drop("_c", "_off", "_in")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import names
+from .asof import asof_join
+from .frames import names, numbered
 from .joins import combine_first
 
 
@@ -58,13 +59,18 @@ def vintage_append(existing: DataFrame, fresh: DataFrame, vintage, by="series_id
         vintage.alias("vintage_date"), *by, "month", "value")
 
 
-def archive_versions(observations: DataFrame, key, observed: str, value_columns) -> DataFrame:
-    """Observations that start a new version: the value differs from the version before it. ``version`` counts from 1."""
+def archive_versions(observations: DataFrame, key, observed: str, value_columns, chunk_days: int = 365) -> DataFrame:
+    """Observations that start a new version: the value differs from the one seen before. ``version`` counts from 1.
+
+    The previous observation comes from a strict as-of join of the table with itself, so a key seen very often is
+    split by time. One row per (key, observation time) is expected.
+    """
     key = names(key)
-    w = Window.partitionBy(*key).orderBy(observed)
-    f = observations.withColumn("_h", F.xxhash64(*value_columns))
-    f = f.withColumn("_prev", F.lag("_h").over(w)).filter("_prev is null or _prev <> _h")
-    return f.withColumn("version", F.row_number().over(w)).drop("_h", "_prev")
+    h = observations.withColumn("_h", F.xxhash64(*value_columns))
+    before = h.select(*key, F.col(observed).alias("_seen"), F.col("_h").alias("_prev"))
+    j = asof_join(h, before, observed, "_seen", key, ["_prev"], strict=True, chunk_days=chunk_days)
+    fresh = j.filter("_prev is null or _prev <> _h").drop("_h", "_prev")
+    return numbered(fresh, key, observed, out="version", chunk_days=chunk_days)
 
 
 def prepend_history(older: DataFrame, newer: DataFrame, by="series_id") -> DataFrame:
