@@ -114,3 +114,14 @@ def timeline_points(bars: DataFrame, offset_hours: int = 9) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("clock", "close"))),
                                  lambda p: F.concat(p["clock"], F.lit("="), F.format_string("%.2f", p["close"]))), ";").alias("points"))
+
+
+def event_rows(bars: DataFrame, move: float, volume: float) -> DataFrame:
+    """One bar to as many event rows as rules it meets: a large move, heavy volume, no move."""
+    w = Window.partitionBy(*SPAN).orderBy("ts")
+    f = bars.withColumn("ret", ratio("close", F.lag("close").over(w)) - 1)
+    rules = F.array(
+        F.when(F.abs("ret") > move, F.struct(F.lit("move").alias("kind"), F.col("ret").alias("value"))),
+        F.when(F.col("volume") > volume, F.struct(F.lit("volume").alias("kind"), F.col("volume").alias("value"))),
+        F.when(F.col("ret") == 0, F.struct(F.lit("flat").alias("kind"), F.lit(0.0).alias("value"))))
+    return f.select(*SPAN, "ts", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("e")).select(*SPAN, "ts", "e.*")
