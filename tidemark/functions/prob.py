@@ -37,13 +37,13 @@ def issue_gate(names=P3, threshold: float = 0.0):
 def softened(names=P3, temperature: float | Column = 1.0, floor: float = 1e-7):
     """softmax(ln p / T) as three columns, inputs clipped at ``floor``."""
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    e = [F.exp(F.ln(F.least(F.greatest(F.col(n), F.lit(floor)), F.lit(1.0))) / t) for n in names]
+    e = [F.when(F.col(n).isNotNull(), F.exp(F.ln(F.least(F.greatest(F.col(n), F.lit(floor)), F.lit(1.0))) / t)) for n in names]
     total = e[0] + e[1] + e[2]
     return [x / total for x in e]
 
 
 def log_loss(p: Column, y: Column, floor: float = 1e-7) -> Column:
-    return -F.ln(F.greatest(F.get(p, y), F.lit(floor)))
+    return F.when(F.get(p, y).isNotNull(), -F.ln(F.greatest(F.get(p, y), F.lit(floor))))
 
 
 def brier(p: Column, y: Column) -> Column:

@@ -1,9 +1,8 @@
 """As-of joins without a nested loop and without one task per key.
 
-Both sides are unioned and split into (key, time chunk) partitions. Inside a chunk a running
-``last`` finds the match; the last right row of every earlier chunk is carried over through a
-table of one row per (key, chunk). A key holding a third of all rows is therefore spread over
-as many tasks as it has chunks.
+Both sides are unioned and split into (key, time chunk) partitions, where a running ``last`` finds the match. A chunk
+also receives the last right row of the chunks before it, from a table of one row per (key, chunk). So each side is
+shuffled once, and a key holding a third of all rows is spread over as many tasks as it has chunks.
 """
 
 from __future__ import annotations
@@ -49,25 +48,34 @@ def asof_join(
         .unionByName(r.withColumn("_side", F.lit(right_first)), allowMissingColumns=True)
         .withColumn("_c", _chunk("_t", chunk_days))
     )
-    group = [*by, "_c"]
-    inner = Window.partitionBy(*group).orderBy("_t", "_side", "_p")
-    outer = Window.partitionBy(*by).orderBy("_c") if by else Window.partitionBy(F.lit(1)).orderBy("_c")
+    edges = r.withColumn("_c", _chunk("_t", chunk_days)).groupBy(*by, "_c").agg((F.min if forward else F.max)("_p").alias("_p"))
+    order = Window.partitionBy(*by).orderBy("_c") if by else Window.partitionBy(F.lit(1)).orderBy("_c")
+    reach = None if tolerance_days is None else tolerance_days // chunk_days + 1
     if forward:
-        here = F.first("_p", ignorenulls=True).over(inner.rowsBetween(0, Window.unboundedFollowing))
-        edge = F.min("_p")
-        carry = F.first("_edge", ignorenulls=True).over(outer.rowsBetween(1, Window.unboundedFollowing))
+        stop = F.lag("_c").over(order)
+        far = l.select(F.min(_chunk("_t", chunk_days))).scalar() if reach is None else F.col("_c") - reach
+        lo = F.coalesce(stop, far) if reach is None else F.greatest(far, F.coalesce(stop, far))
+        ok = F.col("_lo") <= F.col("_c") - 1
+        edges = edges.withColumn("_lo", lo)
+        span = F.sequence(F.col("_lo"), F.col("_c") - 1)
     else:
-        here = F.last("_p", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0))
-        edge = F.max("_p")
-        carry = F.last("_edge", ignorenulls=True).over(outer.rowsBetween(Window.unboundedPreceding, -1))
-    carried = union.groupBy(*group).agg(edge.alias("_edge")).withColumn("_carry", carry).drop("_edge")
-    matched = (
-        union.withColumn("_here", here)
-        .filter(F.col("_row").isNotNull())
-        .join(carried.withColumnsRenamed({g: f"_k_{g}" for g in group}),
-              [F.col(g).eqNullSafe(F.col(f"_k_{g}")) for g in group], "left")
-        .withColumn("_m", F.coalesce("_here", "_carry"))
-    )
+        stop = F.lead("_c").over(order)
+        far = l.select(F.max(_chunk("_t", chunk_days))).scalar() if reach is None else F.col("_c") + reach
+        hi = F.coalesce(stop, far) if reach is None else F.least(far, F.coalesce(stop, far))
+        edges = edges.withColumn("_hi", hi)
+        span = F.sequence(F.col("_c") + 1, F.col("_hi"))
+        ok = F.col("_c") + 1 <= F.col("_hi")
+    carried = edges.filter(ok).withColumn("_c", F.explode(span)).select(*by, "_c", "_p")
+    both = union.unionByName(carried, allowMissingColumns=True)
+    # A carried row has no time of its own: it sorts before the chunk (after it when looking ahead).
+    w = Window.partitionBy(*by, "_c")
+    if forward:
+        here = F.first("_p", ignorenulls=True).over(
+            w.orderBy(F.col("_t").asc_nulls_last(), "_side", "_p").rowsBetween(0, Window.unboundedFollowing))
+    else:
+        here = F.last("_p", ignorenulls=True).over(
+            w.orderBy(F.col("_t").asc_nulls_first(), "_side", "_p").rowsBetween(Window.unboundedPreceding, 0))
+    matched = both.withColumn("_m", here).filter(F.col("_row").isNotNull())
     if tolerance_days is not None:
         gap = F.abs(F.datediff(F.col("_t").cast("date"), F.col("_m._at").cast("date")))
         matched = matched.withColumn("_m", F.when(gap <= tolerance_days, F.col("_m")))

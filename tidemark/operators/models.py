@@ -131,7 +131,8 @@ def har_sigma(bars: DataFrame, h: int, refit: int = 60, least: int = 500) -> Dat
     """
     K, T = "instrument", "session"
     f = bars.withColumn("v", F.pow(B.change("close", K, T), 2)).withColumn("i", F.row_number().over(series(K, T)) - 1)
-    safe = lambda c: F.ln(F.greatest(c, F.lit(1e-12)))
+    # greatest() skips missing values, so the guard keeps a missing variance missing.
+    safe = lambda c: F.when(c.isNotNull(), F.ln(F.greatest(c, F.lit(1e-12))))
     f = f.withColumns({"xd": safe(B.lagged("v")), "_w": B.roll(F.avg, "v", 5), "_m": B.roll(F.avg, "v", 22)})
     fwd = series(K, T).rowsBetween(0, h - 1)
     f = f.withColumns({"xw": safe(B.lagged("_w")), "xm": safe(B.lagged("_m")),

@@ -54,20 +54,34 @@ def matured_scores(scores: DataFrame, by, made="made", matures="matures", score=
         "matured", F.coalesce("matured", F.lit(0)))
 
 
+CHUNK = 1000
+
+
 def trailing_q(scores: DataFrame, by, windows=(250, 500), coverage=0.8, least=100, made="made", matures="matures", score="score"):
     """Per row, window and rule the width factor from the last matured scores: linear quantile and ranked score."""
     by = names(by)
     ranked = matured_scores(scores, by, made, matures, score)
     ends = ranked.select(*by, "matured").distinct().filter(F.col("matured") >= least)
-    # The frame ending at row "matured" holds exactly the scores known then.
-    stats = ranked
+    # The frame ending at row "matured" holds exactly the scores known then. Frames are short, so a series is cut into
+    # chunks that also carry the rows a frame may reach back to, and the chunks run side by side.
+    reach = max(windows) - 1
+    home = F.floor((F.col("pos") - 1) / CHUNK)
+    copies = F.array(F.struct(home.alias("c"), F.lit(True).alias("own")),
+                     F.when((home + 1) * CHUNK - F.col("pos") < reach, F.struct((home + 1).alias("c"), F.lit(False).alias("own"))))
+    tasks = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stats = ranked.select(*by, "pos", score, F.explode(F.filter(copies, lambda x: x.isNotNull())).alias("_k")).select(
+        *by, "pos", score, "_k.c", "_k.own").repartition(tasks, *by, "c")
+    for n in windows:
+        frame = rows([*by, "c"], "pos", -(n - 1), 0)
+        stats = stats.withColumn(f"_a{n}", F.array_sort(F.collect_list(score).over(frame)))
+    stats = stats.filter("own")
     for n in windows:
-        frame = rows(by, "pos", -(n - 1), 0)
-        size = F.count(score).over(frame)
-        rank = F.least(F.ceil((size + 1) * coverage - 1e-12), size).cast("int")
-        ordered = F.array_sort(F.collect_list(score).over(frame))
-        stats = stats.withColumn(f"quantile_{n}", F.percentile(score, F.lit(coverage)).over(frame)).withColumn(
-            f"conformal_{n}", F.element_at(ordered, rank))
+        size, cell = F.size(f"_a{n}"), lambda i, n=n: F.get(f"_a{n}", i.cast("int"))
+        at = F.lit(coverage) * (size - 1)
+        low = F.floor(at)
+        linear = cell(low) + (cell(F.ceil(at)) - cell(low)) * (at - low)
+        rank = F.least(F.ceil((size + 1) * coverage - 1e-12), size)
+        stats = stats.withColumns({f"quantile_{n}": linear, f"conformal_{n}": cell(rank - 1)})
     qs = stats.select(*by, F.col("pos").alias("matured"), *[f"{r}_{n}" for n in windows for r in ("quantile", "conformal")])
     known = qs.join(ends, [*by, "matured"], "left_semi")
     return ranked.join(known, [*by, "matured"], "left")

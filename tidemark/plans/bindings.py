@@ -51,7 +51,9 @@ class Views:
             F.col("l_shipdate").cast("date").alias("session"),
             (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
             F.col("l_quantity").alias("volume"),
-            F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("tick"),
+            # One long, so that open and close stay in a hash aggregate: order, line, then a mix of the other columns.
+            ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1048576 + (
+                F.col("l_partkey") * 31 + F.col("l_suppkey") * 17 + F.round(F.col("l_extendedprice") * 100).cast("bigint")) % 1048576).alias("tick"),
             "l_partkey",
         )
 
@@ -163,7 +165,7 @@ class Views:
         return self.documents.select(
             "doc_id",
             F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 20 * cast(doc_id % 2160 as int), 0)").alias("time"),
-            F.element_at(F.split("text", "\n"), 1).alias("title"),
+            F.substring_index("text", "\n", 1).alias("title"),
             F.col("source").alias("source"),
         ).filter(F.length("title") > 0)
 
@@ -193,6 +195,8 @@ class Views:
             .withColumn("sigma", F.lag("vol20").over(w))
             .filter("sigma is not null")
             .select("instrument", F.col("session").alias("target_date"), "as_of_date", "ref_close", "sigma")
+            # Two dozen forecasts grow from each row; spread the rows first.
+            .repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "instrument", "target_date")
         )
         rows = (
             base.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in ("direction", "price", "open")])))
@@ -254,7 +258,7 @@ _BAR_AGGS = """arg_min(price, tick) AS open, max(price) AS high, min(price) AS l
 SQL_VIEWS: dict[str, str] = {
     "v_ticks": """SELECT l_returnflag AS instrument, CAST(l_shipdate AS DATE) AS session,
  l_extendedprice / l_quantity AS price, l_quantity AS volume,
- {'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'd': l_suppkey, 'e': l_extendedprice} AS tick, l_partkey
+ (l_orderkey * 8 + l_linenumber) * 1048576 + (l_partkey * 31 + l_suppkey * 17 + CAST(round(l_extendedprice * 100) AS BIGINT)) % 1048576 AS tick, l_partkey
  FROM lineitem WHERE l_quantity > 0""",
     "v_bars": f"SELECT instrument, session, {_BAR_AGGS} FROM v_ticks GROUP BY ALL",
     "v_thin": f"SELECT p_brand AS instrument, session, {_BAR_AGGS} FROM v_ticks JOIN part ON l_partkey = p_partkey GROUP BY ALL",
