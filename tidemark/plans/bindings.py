@@ -207,8 +207,7 @@ class Views:
             .withColumn("u0", unit("concat(key, 'a')"))
             .filter("run = 0 or u0 < 0.15")
         )
-        for i, tag in enumerate("bcdef", 1):
-            rows = rows.withColumn(f"u{i}", unit(f"concat(key, '{tag}')"))
+        rows = rows.withColumns({f"u{i}": unit(f"concat(key, '{tag}')") for i, tag in enumerate("bcdef", 1)})
         is_dir, is_price, is_open = (F.col("kind") == k for k in ("direction", "price", "open"))
         point = F.col("ref_close") * (1 + F.col("sigma") * (F.col("u1") - 0.5))
         half = F.col("ref_close") * F.col("sigma") * (0.5 + F.col("u3"))
