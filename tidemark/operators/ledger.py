@@ -237,9 +237,8 @@ def health(ledger: DataFrame, calendar: DataFrame, today) -> DataFrame:
     last = ledger.filter((local <= F.col("prediction_date")) & (F.col("prediction_date") <= today)).groupBy("instrument").agg(
         F.max("prediction_date").alias("last_forecast"))
     cal = calendar.filter(F.col("session") <= today)
-    newest = cal.agg(F.max(F.struct("session", "ordinal")).alias("m")).select(
-        F.col("m.session").alias("latest_session"), F.col("m.ordinal").alias("_top"), F.lit(1).alias("_one"))
+    newest = cal.agg(F.max(F.struct("session", "ordinal"))).scalar()
     j = last.join(cal.select(F.col("session").alias("last_forecast"), F.col("ordinal").alias("_o")), "last_forecast", "left")
-    j = j.withColumn("_one", F.lit(1)).join(newest, "_one")
-    missed = F.col("_top") - F.col("_o")
+    j = j.withColumn("latest_session", newest["session"])
+    missed = newest["ordinal"] - F.col("_o")
     return j.select("instrument", "last_forecast", "latest_session", missed.alias("missed_sessions"), (missed == 0).alias("healthy"))

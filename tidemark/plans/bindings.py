@@ -32,6 +32,8 @@ MODELS = ["Mean ensemble", "Ridge", "Candidate IV interval", "Candidate evening
 class Views:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        # Landed times carry no zone and mean UTC; casts to instants must not depend on the caller's zone.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(self, name: str) -> DataFrame:
         return load(self.spark, self.folder, name)
