@@ -16,10 +16,14 @@ from .frames import names
 RANGES = 128
 
 
-def value_ranks(df: DataFrame, by, value: str, ranges: int = RANGES) -> DataFrame:
-    """One row per (by, value): ``cnt``, ``below`` (rows strictly smaller), ``total``, ``avg_rank`` (ties share)."""
+def value_ranks(df: DataFrame, by, value: str, extra: dict | None = None, ranges: int = RANGES) -> DataFrame:
+    """One row per (by, value): ``cnt``, ``below`` (rows strictly smaller), ``total``, ``avg_rank`` (ties share).
+
+    ``extra`` adds aggregates to the histogram, so that a caller needs no second pass over the rows.
+    """
     by = names(by)
-    hist = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"))
+    more = [c.alias(k) for k, c in (extra or {}).items()]
+    hist = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"), *more)
     cuts = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     edges = hist.groupBy(*by).agg(
         F.percentile_approx(value, cuts, 1000).alias("_edges"), F.sum("cnt").alias("total"))
@@ -35,7 +39,7 @@ def value_ranks(df: DataFrame, by, value: str, ranges: int = RANGES) -> DataFram
         cut.withColumn("_inside", inside).join(offsets, [*by, "_r"])
         .withColumn("below", F.col("_before") + F.col("_inside"))
         .withColumn("avg_rank", F.col("below") + (F.col("cnt") + 1) / 2.0)
-        .select(*by, value, "cnt", "below", "total", "avg_rank")
+        .select(*by, value, "cnt", "below", "total", "avg_rank", *(extra or {}))
     )
 
 
@@ -59,10 +63,8 @@ def auc(df: DataFrame, by, score: str, positive: str, least: int = 30) -> DataFr
     """Area under the curve by average ranks; missing under ``least`` rows or with one class only."""
     by = names(by)
     rows = df.filter(F.col(score).isNotNull() & F.col(positive).isNotNull())
-    ranks = value_ranks(rows, by, score).select(*by, score, "avg_rank")
-    split = rows.groupBy(*by, score).agg(F.sum(F.col(positive).cast("int")).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    total = split.join(ranks, [*by, score]).groupBy(*by).agg(
-        F.sum(F.col("avg_rank") * F.col("_p")).alias("_s"), F.sum("_p").alias("n_pos"), F.sum("_n").alias("n"))
+    table = value_ranks(rows, by, score, {"_p": F.sum(F.col(positive).cast("int"))})
+    total = table.groupBy(*by).agg(F.sum(F.col("avg_rank") * F.col("_p")).alias("_s"), F.sum("_p").alias("n_pos"), F.sum("cnt").alias("n"))
     n1, n0 = F.col("n_pos"), F.col("n") - F.col("n_pos")
     ok = (F.col("n") >= least) & (n1 > 0) & (n0 > 0)
     value = F.when(ok, (F.col("_s") - n1 * (n1 + 1) / 2.0) / F.when(ok, n1 * n0))
