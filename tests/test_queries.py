@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from tidemark import plans
 
 DIR = "/root/testdata/sf0.001"
 
@@ -17,8 +18,8 @@ def test_flagship(spark):
     assert df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - {"direction_classifier", "feature_contribution", "direction_walk_forward"}))
+@pytest.mark.parametrize("name", sorted(set(plans.queries()) - {"direction_classifier", "feature_contribution", "direction_walk_forward"}))
 def test_query_builds(spark, name):
     """Analysis and a schema without nameless columns; results are compared by tools/check.py."""
-    df = entry.queries()[name](spark, DIR)
+    df = plans.queries()[name](spark, DIR)
     assert df.columns and len(set(df.columns)) == len(df.columns)

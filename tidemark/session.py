@@ -26,14 +26,20 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g", **c
     return builder.getOrCreate()
 
 
+_SCRATCH: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a scratch folder only where none is named (tests)."""
+    """The shared folder that ``spark.checkpoint.dir`` names; a scratch folder only for a local master without one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named
-    local = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if context.applicationId not in _SCRATCH:
+        _SCRATCH[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
+    return _SCRATCH[context.applicationId]
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
