@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding, urls, warc
+from . import decontaminate, quality, sharding, simhash, toxicity, urls, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,49 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judged_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ITEM_WORDS = "list_filter(regexp_split_to_array(" + _FOLD + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+OP8_HITS = f"""
+bw AS MATERIALIZED (SELECT item_id, {_ITEM_WORDS.format("coalesce(text, '')")} AS ws FROM benchmark),
+bg AS MATERIALIZED (
+  SELECT DISTINCT item_id, n, hash(list_slice(ws, i, i + n - 1)) AS g FROM (
+    SELECT item_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i
+    FROM (SELECT item_id, ws, least(len(ws), 13) AS n FROM bw WHERE len(ws) > 0))),
+dw AS MATERIALIZED (SELECT rid, doc_id, {_ITEM_WORDS.format("t")} AS ws FROM docs),
+dg AS (
+  SELECT rid, n, unnest(range(1, len(ws) - n + 2)) AS i,
+         unnest(list_transform(range(1, len(ws) - n + 2), lambda i: hash(list_slice(ws, i, i + n - 1)))) AS g
+  FROM dw, (SELECT DISTINCT n FROM bg) WHERE len(ws) >= n),
+met AS MATERIALIZED (SELECT rid, i, dg.n, item_id FROM dg JOIN bg ON dg.n = bg.n AND dg.g = bg.g),
+hit AS (
+  SELECT dw.rid, doc_id, len(ws)::BIGINT AS n_words, coalesce(h, 0)::BIGINT AS n_hit, coalesce(k, 0)::BIGINT AS n_items,
+         sha256(coalesce(ids, '')) AS items_sha256
+  FROM dw
+  LEFT JOIN (SELECT rid, count(DISTINCT w) AS h FROM (SELECT rid, unnest(range(i, i + n)) AS w FROM met) GROUP BY rid) a ON dw.rid = a.rid
+  LEFT JOIN (SELECT rid, count(*) AS k, string_agg(s, ',' ORDER BY s) AS ids
+             FROM (SELECT DISTINCT rid, item_id::VARCHAR AS s FROM met) GROUP BY rid) b ON dw.rid = b.rid)
+"""
+
+
+@query("op8_decontamination", f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), {OP8_HITS}
+SELECT doc_id, n_words, n_hit, n_items, items_sha256, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated FROM hit""")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    hits = decontaminate.benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontaminate.report(hits)
+
+
+@query("op9_simhash")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, folder, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
