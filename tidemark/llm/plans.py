@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, sharding, simhash, toxicity, urls, warc
+from . import decontaminate, pieces, quality, sharding, simhash, toxicity, urls, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op4_sentencepiece")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trips(table(spark, folder, "documents"))
+
+
 @query("op6_url_filters")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judged_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
