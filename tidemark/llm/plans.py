@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pieces, quality, sharding, simhash, toxicity, urls, warc
+from . import decontaminate, htmltext, pieces, quality, sharding, simhash, toxicity, urls, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,12 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trips(table(spark, folder, "documents"))
 
 
+@query("op5_html_extraction")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    out = htmltext.main_texts(table(spark, folder, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op6_url_filters")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judged_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
