@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, htmltext, pieces, quality, sharding, simhash, toxicity, urls, warc
+from . import decontaminate, htmltext, pieces, quality, repeats, sharding, simhash, toxicity, urls, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judged_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op7_suffix_array")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.repeated_bytes(table(spark, folder, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = "list_filter(regexp_split_to_array(" + _FOLD + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 OP8_HITS = f"""
