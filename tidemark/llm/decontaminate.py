@@ -203,11 +203,14 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text
                    max_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
     """The documents with all their columns, without the contaminated ones, or (``spans``) without the hit words.
 
-    Other documents stay as they are. The benchmark must fit the broadcast bound here.
+    Other documents stay as they are. Spans are only cut with a benchmark inside the broadcast bound.
     """
     index = benchmark_index(documents, benchmark, max_words=max_words)
+    if index is None and mode == "documents":
+        packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("key"), F.col(f"`{text}`").alias("text"))
+        return report(_joined_hits(packed, benchmark), "key").filter("not contaminated").select("key.*")
     if index is None:
-        raise ValueError("benchmark above the broadcast bound: use benchmark_hits and join on a row key")
+        raise ValueError("spans are cut with a benchmark inside the broadcast bound only")
     place = documents.columns.index(text)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

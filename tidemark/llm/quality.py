@@ -111,3 +111,9 @@ def quality_flags(documents: DataFrame, text: str = "text", keep: list[str] | No
     base = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     return (measures(documents, text, keep).withColumn("base_failed", base)
             .withColumn("kept", ~F.col("base_failed") & passes(rules)))
+
+
+def accepted(documents: DataFrame, text: str = "text", rules: list[Rule] = RULES) -> DataFrame:
+    """The rows that are kept, with all their columns, whatever those are called."""
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("record"), F.col(f"`{text}`").alias("text"))
+    return quality_flags(packed, "text", ["record"], rules).filter("kept").select("record.*")

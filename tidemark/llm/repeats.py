@@ -266,17 +266,31 @@ def _removed(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
 
 
 _MET = ("row long, n_bytes long, settled boolean, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, "
-        "body binary, places binary")
+        "kept_text string, body binary, places binary")
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
+def _kept_text(text: bytes, spans: list[tuple[int, int]]) -> str:
+    """The text without the whole characters inside the spans; a character that a span cuts stays."""
+    out, last = [], 0
+    inside = lambda i: i < len(text) and 0x80 <= text[i] < 0xC0
+    for a, b in spans:
+        while a < b and inside(a):
+            a += 1
+        while b > a and inside(b):
+            b -= 1
+        out.append(text[last:a])
+        last = b
+    return (b"".join(out) + text[last:]).decode()
+
+
 def _as_structs(spans: list[tuple[int, int]]) -> list[dict]:
     return [{"start": a, "end": b} for a, b in spans]
 
 
-def _met_stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _met_stage(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     """Whole texts with their suspect places; a text that occurs twice, or has no such place, is settled here."""
-    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), _SPANS, pa.binary(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), _SPANS, pa.string(), pa.binary(), pa.binary())
     for batch in batches:
         rows, places, copied = (batch.column(c).to_pylist() for c in ("row", "places", "copied"))
         for first, texts in slices(batch.column("body")):
@@ -287,7 +301,7 @@ def _met_stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 whole = long_enough and hashlib.md5(text).hexdigest() in (copied[i] or ())
                 settled = whole or not found
                 spans = [(0, len(text))] if whole else []
-                result = (*_removed(text, spans), _as_structs(spans)) if settled else (None, None, None, None)
+                result = (*_removed(text, spans), _as_structs(spans), _kept_text(text, spans) if with_text else None) if settled else (None,) * 5
                 out.append((rows[i], len(text), settled, *result, text if found else None, found or None))
             columns = [batch.column("key").slice(first, len(texts)), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))]
             yield pa.RecordBatch.from_arrays(columns, names=["key", *(x.split()[0] for x in _MET.split(", "))])
@@ -452,9 +466,9 @@ def _window_stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                                          names=["row", "first", "last"])
 
 
-def _final_stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _final_stage(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     """Cover the hit windows of each text and digest what is left."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), _SPANS)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), _SPANS, pa.string())
     for batch in batches:
         starts, out = batch.column("starts").to_pylist(), []
         for i, body in enumerate(batch.column("body")):
@@ -464,18 +478,20 @@ def _final_stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     spans[-1] = (spans[-1][0], max(last + LENGTH, spans[-1][1]))
                 else:
                     spans.append((first, last + LENGTH))
-            out.append((len(text), *_removed(text, spans), _as_structs(spans)))
+            out.append((len(text), *_removed(text, spans), _as_structs(spans), _kept_text(text, spans) if with_text else None))
         if out:
             yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))],
-                                             names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+                                             names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"])
 
 
 _ROWS = "bucket int, kind int, entries binary"
 
 
-def repeated_bytes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_bytes(documents: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """``key``, n_bytes, n_removed, n_spans, kept_sha256 and the removed ``spans`` (byte ranges) of every row.
 
+    ``with_text`` adds ``kept_text``, what is left with whole characters; the key may be a struct of any columns.
+
     A byte is removed if a string of LENGTH bytes over it starts anywhere else, in this text or another. Null texts are
     empty; texts below LENGTH bytes keep all; of equal texts of LENGTH bytes or more all are removed whole, and so are
     repeated rows. Null keys are keys like others; other columns are not looked at; an empty table gives no rows.
@@ -509,13 +525,27 @@ def repeated_bytes(documents: DataFrame, key: str = "doc_id", text: str = "text"
     numbered = rows.select("key", F.monotonically_increasing_id().alias("row"), "body", number(digest).alias("number"))
     kind = numbered.schema["key"].dataType.simpleString()
     met = written(numbered.join(known, "number", "left").select("key", "row", "body", "places", "copied")
-                  .mapInArrow(_met_stage, f"key {kind}, {_MET}"), "suspects")
+                  .mapInArrow(lambda b: _met_stage(b, with_text), f"key {kind}, {_MET}"), "suspects")
 
     around = met.filter("places is not null").select("row", "body", "places").mapInArrow(_context_stage(buckets), _ROWS)
     hits = dealt(around, _window_stage, "row long, first long, last long")
     starts = hits.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
-    fields = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+    fields = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"]
     open_rows = (met.filter("not settled").select("key", "row", "body").join(starts, "row", "left").select("key", "body", "starts")
-                 .mapInArrow(_final_stage, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"))
-    out = met.filter("settled").select("key", *fields).unionByName(open_rows)
+                 .mapInArrow(lambda b: _final_stage(b, with_text), f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
+                             "spans array<struct<start:long,end:long>>, kept_text string"))
+    out = met.filter("settled").select("key", *fields).unionByName(open_rows).drop(*([] if with_text else ["kept_text"]))
     return out.withColumnRenamed("key", key)
+
+
+def without_repeats(documents: DataFrame, text: str = "text") -> DataFrame:
+    """The documents with all their columns and no repeated string of LENGTH bytes in their texts; no row goes.
+
+    Null texts become empty. A column ``n_chars`` of whole numbers follows the text that is left.
+    """
+    others = [c for c in documents.columns if c != text]
+    keyed = documents.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("key"), F.col(f"`{text}`").alias("text"))
+    out = repeated_bytes(keyed, "key", "text", with_text=True)
+    columns = [F.col("kept_text").alias(c) if c == text else F.length("kept_text").cast("long").alias(c) if c == "n_chars" else F.col(f"key.`{c}`")
+               for c in documents.columns]
+    return out.select(*columns)

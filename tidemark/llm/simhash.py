@@ -202,6 +202,12 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def labelled_fingerprints(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, low, root): the component of every distinct fingerprint ``fp``, named by one of its fingerprints."""
+    roots = components(fingerprint_links(nodes.select("fp"), radius))
+    return nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """``key``, signed ``fp`` and ``component_id`` (the smallest key reachable over links) of every row.
 
@@ -211,9 +217,18 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     """
     marked = written(fingerprints(documents, key, text), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min(f"`{key}`").alias("low")), "nodes")
-    roots = components(fingerprint_links(nodes.select("fp"), radius))
-    rooted = (nodes.join(roots, nodes.fp == roots.node, "left")
-              .select("fp", "low", F.coalesce("root", "fp").alias("root")))
+    rooted = labelled_fingerprints(nodes, radius)
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = rooted.join(lows, "root").select("fp", "component_id")
     return marked.join(ids, "fp").select(F.col(f"`{key}`"), "fp", "component_id")
+
+
+def one_of_each_group(documents: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The documents with all their columns, one row of each component: that of the smallest key (null is smallest), of
+    rows that repeat it the first. The input must be a table that gives the same rows in the same order when reread."""
+    numbered = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("record"), F.col(f"`{key}`").alias("key"),
+                                F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("row"))
+    ids = numbered.select(F.struct("key", "row").alias("id"), "text")
+    nodes = written(fingerprints(ids, "id", "text").groupBy("fp").agg(F.min("id").alias("low")), "nodes")
+    stay = labelled_fingerprints(nodes, radius).groupBy("root").agg(F.min("low").alias("low")).select("low.row")
+    return numbered.select("row", "record").join(stay, "row", "left_semi").select("record.*")
