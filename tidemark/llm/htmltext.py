@@ -47,7 +47,7 @@ _GROUP_OF = {w: i for i, words in enumerate(GROUPS.values()) for w in words}
 _N = len(GROUPS)
 _HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 FEATURES = (["depth", "log_chars", "log_own_chars", "density", "link_share", "stops", "word_length", "children", "place",
-             "siblings", "siblings_alike", "text_before", "text_share", "is_paragraph", "is_heading", "is_list", "is_table"]
+             "siblings", "siblings_alike", "text_before", "text_share", "is_paragraph", "is_heading", "is_list", "is_table", "nearest_mark"]
             + [f"own_{g}" for g in GROUPS] + [f"above_{g}" for g in GROUPS] + [f"below_{g}" for g in GROUPS])
 
 
@@ -146,6 +146,9 @@ class Page:
             kids[p] += 1
             above[i] |= above[p]
             same[p, self.tag[i]] = same.get((p, self.tag[i]), 0) + 1
+        mark = np.zeros(n)  # of the element itself or the nearest above that has any: 1 content, -1 clutter
+        for i in range(1, n):
+            mark[i] = -1 if self.groups[i] > 1 else 1 if self.groups[i] else mark[self.parent[i]]
         for i in range(1, n):
             alike[i] = same[self.parent[i], self.tag[i]]
         before = np.cumsum(own) - own
@@ -156,7 +159,7 @@ class Page:
         return np.column_stack([
             depth, np.log1p(chars), np.log1p(own), chars / tags, links / np.maximum(chars, 1), marks / np.maximum(tokens, 1),
             chars / np.maximum(tokens, 1), kids, place, np.where(parent >= 0, kids[parent], 0), alike, before / total, chars / total,
-            np.array(flags, float), bits(self.groups), bits(outer), bits(below)])
+            np.array(flags, float), mark, bits(self.groups), bits(outer), bits(below)])
 
     def text(self, state: np.ndarray) -> str:
         blocks, current = [], []
@@ -249,7 +252,7 @@ def teaching_pages(source: str, seed: int) -> list[str]:
     link = lambda: f'<li><a href="#">{pick.choice(prose)[:20]}</a></li>'
 
     def clutter(kind: str) -> str:
-        names = pick.choice(GROUPS[kind][:7])
+        names = pick.choice(["", "", "", "main-", "post-", "article-", "page-", "top-"]) + pick.choice(GROUPS[kind][:7])
         tag = pick.choice({"menu": ["nav", "div"], "header": ["header", "div"], "footer": ["footer", "div"], "side": ["aside", "div"],
                            "form": ["form", "div"]}.get(kind, ["div", "section"]))
         if kind in ("menu", "share"):
@@ -260,9 +263,18 @@ def teaching_pages(source: str, seed: int) -> list[str]:
             inner = f"<p>{pick.choice(prose)[:80]}</p>"
         return f'<{tag} class="{names} {_WORDS[kind]}" data-keep="0">{inner}</{tag}>'
 
+    def wrapped(part: str) -> str:
+        tag = pick.choice(["p"] * 6 + ["blockquote", "div", "li", "pre", "h2", "td"])
+        if tag == "p":
+            return part
+        inner = re.sub(r"<[^>]*>", "", part)
+        inner = f"<{tag}>{inner[:60] if tag == 'h2' else inner}</{tag}>"
+        return {"li": f"<ul>{inner}</ul>", "td": f"<table><tr>{inner}</tr></table>"}.get(tag, inner)
+
     kinds = list(_WORDS)
-    holder = pick.choice([("div", "post-content"), ("div", "entry"), ("section", "story"), ("main", "content"), ("div", "article-body"), ("article", "")])
-    paragraphs = re.split(r"(?=<p>)", body)
+    holder = pick.choice([("div", "post-content"), ("div", "entry"), ("section", "story"), ("main", "content"), ("div", "article-body"), ("article", ""),
+                          ("article", "")])
+    paragraphs = [wrapped(x) for x in re.split(r"(?=<p>)", body)]
     inside = pick.sample(["comment", "advert", "share", "form", "side", "notice"], pick.randint(0, 3))
     for kind in inside:
         paragraphs.insert(pick.randint(1, len(paragraphs)), clutter(kind))
