@@ -83,3 +83,41 @@ def test_append_keeps_the_first_and_is_idempotent(spark):
 def test_empty_ledger_keeps_columns(spark, bars):
     s = L.ledger_summary(L.daily_comparison(L.score_forecasts(frame(spark, []), bars, F.lit(NOW))))
     assert s.count() == 0 and "mean_log_loss" in s.columns
+
+
+def test_sink_keeps_unscored_rows_due(spark, tmp_path):
+    """A bar that lands before the deadline clock, or before its reference bar, is graded with a later batch."""
+    from tidemark.streaming.marts import scores_sink
+
+    path, landed, clock = str(tmp_path / "scores"), [], []
+    schema = "instrument string, session date, open double, close double"
+    early = dt.datetime(2024, 1, 1, 12)
+    rows = [row("wait", early), row("ref", early, as_of_date=dt.date(2023, 12, 29)), row("other", early, instrument="y"), row("later", early, target_date=D3)]
+    sink = scores_sink(path, frame(spark, rows), lambda: spark.createDataFrame(landed, schema), lambda: F.lit(clock[-1]))
+
+    def batch(number, bars, now):
+        landed.extend(bars)
+        clock.append(now)
+        sink(spark.createDataFrame(bars, schema), number)
+        return sorted((r.record_id, r.batch) for r in spark.read.parquet(path).collect())
+
+    assert batch(0, [("x", D1, 99.0, 100.0), ("x", D2, 101.0, 103.0)], dt.datetime(2024, 1, 1)) == []
+    assert batch(1, [("x", D3, 102.0, 104.0)], NOW) == [("wait", 1)]
+    assert batch(2, [("x", dt.date(2023, 12, 29), 98.0, 99.0)], dt.datetime(2024, 1, 8)) == [("later", 2), ("ref", 2), ("wait", 1)]
+
+
+def test_loader_failures_are_not_swallowed(spark, tmp_path):
+    from tidemark.sources import readers as R
+
+    archive = spark.createDataFrame([("s", D1, 1.0)], "series_id string, month date, value double")
+
+    def fails(error):
+        def load():
+            raise error
+        return load
+
+    for error in (FileNotFoundError("x"), ConnectionError("x")):
+        assert R.load_series(fails(error), archive, ["series_id", "month"]).first().source == "archive"
+    assert R.load_series(lambda: spark.read.parquet(str(tmp_path / "none")), archive, ["series_id", "month"]).count() == 1
+    with pytest.raises(PermissionError):
+        R.load_series(fails(PermissionError("x")), archive, ["series_id", "month"])

@@ -118,16 +118,36 @@ def test_trailing_and_adaptive_widths(spark):
             recent = np.sort(s[max(0, a - w):a])
             assert q[day(i)][f"quantile_{w}"] == pytest.approx(np.quantile(recent, 0.8))
             assert q[day(i)][f"conformal_{w}"] == recent[min(int(np.ceil((len(recent) + 1) * 0.8 - 1e-12)), len(recent)) - 1]
-    got = {r.made: r.q for r in P.adaptive_q(df, "k", (0.02,), (250,)).collect()}
-    level, done, want = 0.2, 0, np.full(n, np.nan)
-    for t, a in enumerate(avail):
-        while done < a:
-            if np.isfinite(want[done]):
-                level += 0.02 * (0.2 - float(s[done] > want[done]))
-            done += 1
-        if a >= 100:
-            want[t] = np.quantile(s[max(0, a - 250):a], 1 - level)
-    assert all((got[day(i)] is None) if np.isnan(want[i]) else got[day(i)] == pytest.approx(want[i]) for i in range(n))
+
+
+def adaptive(spark, values, gamma=0.1, lag=1, least=2):
+    df = spark.createDataFrame([("i", day(i), day(i + lag), float(v)) for i, v in enumerate(values)], "k string, made date, matures date, score double")
+    return [r.q for r in P.adaptive_q(df, "k", (gamma,), (250,), coverage=0.5, least=least).orderBy("made").collect()]
+
+
+def test_adaptive_width_by_hand(spark):
+    """Level 0.5; with two known scores the median is used; a hit adds 0.05 to the level, a miss takes 0.05."""
+    # A forecast knows the scores that matured before its day: of 0, 0, 0+1, ... rows with a lag of one day.
+    got = adaptive(spark, [1.0, 3.0, 9.0, 2.0, 2.0, 2.0])
+    assert got[:3] == [None, None, None]  # 0, 0 and 1 known scores
+    assert got[3] == pytest.approx(2.0)  # known 1, 3; level 0.5
+    assert got[4] == pytest.approx(3.0)  # known 1, 3, 9; no forecast has been graded yet
+    # The fourth score, 2.0 at a width of 2.0, was a hit: the level is 0.5 + 0.1 * 0.5, so the 0.45 quantile is used.
+    assert got[5] == pytest.approx(np.quantile([1, 3, 9, 2], 0.45))
+
+
+def test_adaptive_width_moves_with_misses(spark):
+    """A jump of the scores widens the band until the coverage is restored, and only after scores have matured."""
+    rng = np.random.default_rng(2)
+    calm, wild = np.abs(rng.normal(size=300)), 4 * np.abs(rng.normal(size=300))
+    x = np.concatenate([calm, wild])
+    q = [np.nan if v is None else v for v in adaptive(spark, x, 0.05, 5, 50)]
+    same = [np.nan if v is None else v for v in adaptive(spark, np.concatenate([calm, wild[:1] * 0, wild[1:]]), 0.05, 5, 50)]
+    assert np.array_equal(q[:305], same[:305], equal_nan=True)  # a score changes nothing before it has matured
+    assert np.isnan(q[:50]).all() and not np.isnan(q[60:]).any()
+    assert np.mean(x[450:] <= q[450:]) == pytest.approx(0.5, abs=0.07)
+    still = [v for v in adaptive(spark, x, 0.0, 5, 50)][599]
+    assert still == pytest.approx(np.quantile(x[345:595], 0.5)) or still == pytest.approx(np.quantile(x[344:594], 0.5))
 
 
 def test_short_phases_are_absorbed(spark):
@@ -135,3 +155,12 @@ def test_short_phases_are_absorbed(spark):
     df = spark.createDataFrame([("s", dt.date(2020 + i // 12, i % 12 + 1, 1), p) for i, p in enumerate(seq)], "series_id string, month date, phase string")
     got = [(r.phase, r.months, r.ongoing) for r in M.phase_episodes(df).orderBy("start").collect()]
     assert got == [("a", 9, False), ("c", 3, False), ("b", 5, True)]
+
+
+@pytest.mark.parametrize("seq,want", [
+    ("ab" + "c" * 5, [("c", 7)]), ("a", [("a", 1)]), ("aab", [("b", 3)]), ("aaab", [("a", 4)]), ("abbbb", [("b", 5)]),
+    ("aaabbaabbb", [("a", 7), ("b", 3)]), ("aaabcbbb", [("a", 5), ("b", 3)]), ("aabbccc", [("b", 4), ("c", 3)])])
+def test_phase_cases(spark, seq, want):
+    df = spark.createDataFrame([("s", dt.date(2020 + i // 12, i % 12 + 1, 1), p) for i, p in enumerate(seq)], "series_id string, month date, phase string")
+    got = M.phase_episodes(df).orderBy("start").collect()
+    assert [(r.phase, r.months) for r in got] == want and [r.ongoing for r in got] == [False] * (len(want) - 1) + [True]

@@ -42,11 +42,27 @@ def periods_on(sessions: DataFrame, periods: DataFrame, by=()) -> DataFrame:
     return range_join(sessions, periods, "session", "start", "end", by=by, bucket_days=60)
 
 
+def open_periods(sessions: DataFrame, periods: DataFrame) -> DataFrame:
+    """Per session with an open period [start, end]: how many, their amount, and the smallest filing.
+
+    Periods fold to one row per pair of days before they are spread over the days between, so what is spread is bounded
+    by the calendar and not by the filings.
+    """
+    spans = periods.groupBy("start", "end").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"), F.min("filing").alias("first_filing"))
+    days = spans.filter(F.col("start") <= F.col("end")).withColumn("session", F.explode(F.sequence("start", "end")))
+    return days.groupBy("session").agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"), F.min("first_filing").alias("first_filing")).join(
+        sessions.select("session"), "session")
+
+
 def period_transition(flows: DataFrame, periods: DataFrame, calendar: DataFrame, windows=(5, 20)) -> DataFrame:
     """Net flow over the last n sessions of a period and the first n sessions after it, complete windows only."""
     w = Window.partitionBy("instrument").orderBy("ordinal")
     f = flows.join(calendar.select("session", "ordinal"), "session")
-    ends = asof_join(periods, calendar, "end", "session", (), ["ordinal"], chunk_days=3650).withColumnRenamed("ordinal", "_e")
+    newest = calendar.agg(F.max("session")).scalar()
+    follows = F.lead("session").over(Window.orderBy("session"))  # the calendar: one row a session
+    spans = calendar.select("ordinal", "session", F.coalesce(F.date_sub(follows, 1), F.col("session")).alias("_until"))
+    days = spans.select("ordinal", F.explode(F.sequence("session", "_until")).alias("_day"))
+    ends = periods.withColumn("_day", F.least("end", newest)).join(days, "_day").drop("_day").withColumnRenamed("ordinal", "_e")
     for n in windows:
         # A window is complete when its n rows span exactly n ordinals.
         back, ahead = w.rowsBetween(-(n - 1), 0), w.rowsBetween(1, n)

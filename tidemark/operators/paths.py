@@ -87,43 +87,48 @@ def trailing_q(scores: DataFrame, by, windows=(250, 500), coverage=0.8, least=10
     return ranked.join(known, [*by, "matured"], "left")
 
 
+def _quantile(values, share):
+    """Linear quantile of a sorted array at a share that may leave [0, 1]: its greatest value above, 0 below."""
+    at = share * (F.size(values) - 1)
+    low = F.floor(at).cast("int")
+    cell = lambda i: F.get(values, i)
+    linear = cell(low) + F.coalesce(cell(low + 1) - cell(low), F.lit(0.0)) * (at - low)
+    return F.when(share >= 1, F.element_at(values, -1)).when(share <= 0, F.lit(0.0)).otherwise(linear)
+
+
+def _next_level(coverage: float, gamma: float):
+    """Fold step: the path with the level after one more matured score."""
+    def step(path, r):
+        width = _quantile(r["known"], 1 - F.get(path, r["matured"].cast("int")))
+        moved = F.coalesce((1 - coverage) - (r["x"] > width).cast("double"), F.lit(0.0)) * float(gamma)
+        return F.concat(path, F.array(F.element_at(path, -1) + moved))
+
+    return step
+
+
 def adaptive_q(scores: DataFrame, by, gammas=(0.005, 0.02), windows=(250, 500), coverage=0.8, least=100, made="made",
                matures="matures", score="score") -> DataFrame:
-    """Adaptive width: the target level moves once per matured score, by whether that forecast missed.
+    """Adaptive width: the target level moves by gamma once per matured score, up after a hit and down after a miss.
 
-    Each step needs the level left by the one before, so a series runs as one pandas group; it holds
-    one row per session. (gamma, window) are group keys, so settings run side by side.
+    Entry k of a path is the level after k matured scores, so a forecast made with k known ones reads entry k, and the
+    path grows by one entry a forecast: a fold over the series with nothing but that array as its state. The sorted
+    score frames that a level is applied to come from a window beforehand. A series is bounded by the calendar.
     """
-    import numpy as np
-    import pandas as pd
-
     by = names(by)
-    settings = F.array(*[F.struct(F.lit(float(g)).alias("gamma"), F.lit(n).alias("window")) for g in gammas for n in windows])
-    ranked = matured_scores(scores, by, made, matures, score).withColumn("s", F.explode(settings))
-    ranked = ranked.select(*by, made, "pos", "matured", score, "s.gamma", "s.window")
-    fields = {f.name: f.dataType.simpleString() for f in ranked.schema.fields}
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
-        x = pdf[score].to_numpy(float)
-        n, g = int(pdf["window"].iloc[0]), float(pdf["gamma"].iloc[0])
-        q = np.full(len(x), np.nan)
-        level, seen = 1 - coverage, 0
-        for t, known in enumerate(pdf["matured"].to_numpy(int)):
-            for i in range(seen, known):
-                if np.isfinite(q[i]):
-                    level += g * ((1 - coverage) - float(x[i] > q[i]))
-            seen = max(seen, known)
-            if known >= least:
-                recent = x[max(0, known - n):known]
-                want = 1 - level
-                q[t] = recent.max() if want >= 1 else 0.0 if want <= 0 else np.quantile(recent, want)
-        out = pdf[[*by, made, "gamma", "window"]].copy()
-        out["q"] = q
-        return out
-
-    schema = ", ".join(f"{c} {fields[c]}" for c in [*by, made, "gamma", "window"]) + ", q double"
-    return ranked.groupBy(*by, "gamma", "window").applyInPandas(follow, schema).withColumn("q", F.nanvl("q", F.lit(None)))
+    ranked = matured_scores(scores, by, made, matures, score)
+    out = None
+    for n in windows:
+        known = ranked.select(*by, F.col("pos").alias("matured"), F.array_sort(F.collect_list(score).over(rows(by, "pos", -(n - 1), 0))).alias("_known"))
+        framed = ranked.join(known, [*by, "matured"], "left").select(
+            *by, made, "pos", "matured", score, F.when(F.col("matured") >= least, F.col("_known")).alias("_known"))
+        lists = framed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "matured", F.col(score).alias("x"), F.col("_known").alias("known")))).alias("steps"))
+        for g in gammas:
+            start = F.array(F.lit(float(1 - coverage)))
+            paths = lists.select(*by, F.posexplode(F.aggregate("steps", start, _next_level(coverage, g))).alias("_at", "_level")).withColumn("matured", F.col("_at").cast("bigint")).drop("_at")
+            part = framed.withColumn("matured", F.col("matured").cast("bigint")).join(paths, [*by, "matured"]).select(
+                *by, made, F.lit(float(g)).alias("gamma"), F.lit(n).alias("window"), _quantile(F.col("_known"), 1 - F.col("_level")).alias("q"))
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def candidates(scores: DataFrame, by, current: float = 1.28, made="made") -> DataFrame:

@@ -383,11 +383,11 @@ def trailing_change(v):
 
 
 def trade_record(v):
-    """Trades opened on every 7th session and closed a hashed number of sessions later."""
+    """Trades opened on every session and closed a hashed number of sessions later."""
     f = B.with_vol20(v.bars).join(v.calendar.select("session", "ordinal"), "session")
     u = unit("concat(instrument, cast(session as string), 't')")
     held = F.floor(u * 5).cast("bigint") + 1
-    ents = f.withColumn("u", u).withColumn("exit_ord", F.col("ordinal") + held).filter("ordinal % 7 = 0")
+    ents = f.withColumn("u", u).withColumn("exit_ord", F.col("ordinal") + held)
     out = f.select("instrument", F.col("ordinal").alias("exit_ord"), F.col("close").alias("exit_close"))
     j = ents.join(out, ["instrument", "exit_ord"], "left")
     fills = j.select("instrument", F.col("ordinal").alias("entry"), F.when(F.col("exit_close").isNotNull(), F.col("exit_ord")).alias("exit"),
@@ -396,7 +396,7 @@ def trade_record(v):
 
 
 @query("run_summary", f"""WITH b AS (SELECT instrument, session, close, ordinal, {sql_unit("instrument||session||'t'")} AS u FROM v_bars JOIN v_cal USING (session)),
- f AS (SELECT e.instrument, e.ordinal AS entry, x.ordinal AS exit, x.close / e.close - 1 AS pnl, e.u > 0.1 AS filled FROM b e LEFT JOIN b x ON x.instrument = e.instrument AND x.ordinal = e.ordinal + CAST(floor(e.u * 5) AS BIGINT) + 1 WHERE e.ordinal % 7 = 0),
+ f AS (SELECT e.instrument, e.ordinal AS entry, x.ordinal AS exit, x.close / e.close - 1 AS pnl, e.u > 0.1 AS filled FROM b e LEFT JOIN b x ON x.instrument = e.instrument AND x.ordinal = e.ordinal + CAST(floor(e.u * 5) AS BIGINT) + 1),
  d AS (SELECT instrument, count(*) AS sessions, max(ordinal) AS last FROM b GROUP BY 1)
  SELECT instrument, max(sessions) AS sessions, round(sum(coalesce(exit, last) - entry + 1) FILTER (filled) / max(sessions), 6) AS exposure, round(avg(exit - entry + 1) FILTER (filled AND exit IS NOT NULL), 6) AS mean_holding,
  round(avg(pnl) FILTER (filled AND exit IS NOT NULL), 6) AS mean_net, round(avg(CAST(NOT filled AS INT)), 6) AS unfilled_rate FROM f JOIN d USING (instrument) GROUP BY 1""")

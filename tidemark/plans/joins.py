@@ -81,19 +81,18 @@ def session_reindex(v):
 
 
 def filing_periods(v):
-    """Filing periods: large urgent orders open a period of 20 to 60 days."""
-    return v.orders.filter("o_orderpriority = '1-URGENT' and o_totalprice > 400000").select(
+    """Filing periods: every order opens a period of 20 to 60 days."""
+    return v.orders.select(
         F.col("o_orderkey").alias("filing"), F.col("o_orderdate").cast("date").alias("start"),
         F.date_add(F.col("o_orderdate").cast("date"), 20 + (F.col("o_orderkey") % 41).cast("int")).alias("end"), F.col("o_totalprice").alias("amount"))
 
 
-_periods = "per AS (SELECT o_orderkey AS filing, CAST(o_orderdate AS DATE) AS start, CAST(o_orderdate AS DATE) + 20 + CAST(o_orderkey % 41 AS INT) AS stop, o_totalprice AS amount FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000)"
+_periods = "per AS (SELECT o_orderkey AS filing, CAST(o_orderdate AS DATE) AS start, CAST(o_orderdate AS DATE) + 20 + CAST(o_orderkey % 41 AS INT) AS stop, o_totalprice AS amount FROM orders)"
 
 
 @query("interval_join_periods", f"WITH {_periods} SELECT session, count(*) AS n, round(sum(amount), 2) AS amount, min(filing) AS first_filing FROM v_cal JOIN per ON session BETWEEN start AND stop GROUP BY 1")
 def interval_join_periods(v):
-    return E.periods_on(v.calendar.select("session"), filing_periods(v)).groupBy("session").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("amount"), 2).alias("amount"), F.min("filing").alias("first_filing"))
+    return E.open_periods(v.calendar.select("session"), filing_periods(v)).withColumn("amount", F.round("amount", 2))
 
 
 @query("period_transition", f"""WITH {_periods}, f AS (SELECT *, sum(foreign_net) OVER (PARTITION BY instrument ORDER BY ordinal ROWS 4 PRECEDING) AS s5, min(ordinal) OVER (PARTITION BY instrument ORDER BY ordinal ROWS 4 PRECEDING) AS o5,
@@ -122,13 +121,13 @@ RELEVANT, NOISE = ["on", "the", "ch"], ["sale", "%%%"]
 
 
 def session_events(v):
-    return v.hits.filter("k < 10").select("event_id", "ts")
+    return v.hits.select("event_id", "ts")
 
 
 @query("news_in_window", f"""WITH s AS (SELECT doc_id, time, CASE WHEN contains(title, 'The') THEN 3 ELSE 0 END {' '.join(f"+ CASE WHEN contains(lower(title), '{w}') THEN 2 ELSE 0 END" for w in RELEVANT)}
   {' '.join(f"- CASE WHEN contains(title, '{w}') THEN 2 ELSE 0 END" for w in NOISE)} AS score FROM v_heads)
  SELECT event_id, rank, doc_id, time, score FROM (SELECT event_id, doc_id, time, score, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, time, doc_id) AS rank
- FROM v_hits JOIN s ON time BETWEEN ts - INTERVAL 90 MINUTE AND ts + INTERVAL 15 MINUTE WHERE k < 10) WHERE rank <= 5""")
+ FROM v_hits JOIN s ON time BETWEEN ts - INTERVAL 90 MINUTE AND ts + INTERVAL 15 MINUTE) WHERE rank <= 5""")
 def news_in_window(v):
     return E.news_in_window(session_events(v), v.headlines, "The", RELEVANT, NOISE)
 

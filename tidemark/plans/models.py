@@ -212,8 +212,7 @@ def direction_walk_forward(v):
 
 
 def oof_rows(v):
-    f = sigma_rows(v).filter("model = 'Ridge'")
-    return f.groupBy("instrument", F.col("target_date").alias("date")).agg(F.min("actual_return").alias("y"), F.min("predicted_return").alias("p"), F.min("sigma").alias("sigma"))
+    return sigma_rows(v).groupBy("instrument", "model", F.col("target_date").alias("date")).agg(F.min("actual_return").alias("y"), F.min("predicted_return").alias("p"), F.min("sigma").alias("sigma"))
 
 
 _draws = lambda src, by: f"""blk AS (SELECT {by}, block, row_number() OVER (PARTITION BY {by} ORDER BY block) - 1 AS bid, count(*) OVER (PARTITION BY {by}) AS nb, x, n FROM (SELECT {by}, block, sum(x) AS x, CAST(sum(n) AS DOUBLE) AS n FROM {src} GROUP BY ALL)),
@@ -270,8 +269,8 @@ def verdict(v):
                     LB.interval_verdict(F.col("hi"), F.col("lo"), F.col("hi"), F.lit(1), F.col("cov"), F.lit(0.5)).alias("interval_verdict"))
 
 
-_oof = f"""sgx AS (SELECT p.instrument, p.target_date AS date, min(actual_return) AS y, min(predicted_return) AS p, min(s.sigma) AS sigma FROM ({PRICE}) p JOIN (SELECT instrument, session AS target_date, {lag('vol20')} AS sigma FROM v_vol) s ON s.instrument = p.instrument AND s.target_date = p.target_date
-  WHERE model = 'Ridge' AND horizon_days = 1 AND actual_return IS NOT NULL AND s.sigma IS NOT NULL GROUP BY ALL),
+_oof = f"""sgx AS (SELECT p.instrument || ':' || model AS instrument, p.target_date AS date, min(actual_return) AS y, min(predicted_return) AS p, min(s.sigma) AS sigma FROM ({PRICE}) p JOIN (SELECT instrument, session AS target_date, {lag('vol20')} AS sigma FROM v_vol) s ON s.instrument = p.instrument AND s.target_date = p.target_date
+  WHERE horizon_days = 1 AND actual_return IS NOT NULL AND s.sigma IS NOT NULL GROUP BY ALL),
  pt AS (SELECT *, CASE WHEN i < floor(n / 2) THEN 'calibrate' WHEN i < floor(n * 3 / 4) THEN 'gate' ELSE 'evaluate' END AS part FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY instrument) AS n FROM sgx)),
  s0 AS (SELECT instrument, least(greatest(coalesce(sum(p * y) / nullif(sum(p * p), 0), 0), 0), 1) AS slope0 FROM pt WHERE part = 'calibrate' GROUP BY 1),
  gt AS (SELECT instrument, strftime(date, '%Y-%m') AS block, abs(y - slope0 * p) - abs(y) AS x, 1.0 AS n FROM pt JOIN s0 USING (instrument) WHERE part = 'gate')"""
@@ -279,10 +278,10 @@ _oof = f"""sgx AS (SELECT p.instrument, p.target_date AS date, min(actual_return
 
 @query("slope_gate", f"""WITH {_oof}, {_draws('gt', 'instrument')}, k AS (SELECT instrument, slope0, hi AS gate_hi, hi < 0 AS published, CASE WHEN hi < 0 THEN slope0 ELSE 0.0 END AS slope FROM ci JOIN s0 USING (instrument)),
  z AS (SELECT pt.*, k.* EXCLUDE (instrument), abs(y - slope * p) / greatest(sigma, 1e-6) AS s FROM pt JOIN k USING (instrument)), q AS (SELECT instrument, quantile_cont(s, 0.8) AS band_q FROM z WHERE part = 'calibrate' GROUP BY 1)
- SELECT instrument, n_evaluation, published, {rd('calibration_slope slope gate_hi band_q zero_mae raw_mae shrunk_mae coverage')} FROM (SELECT instrument, count(*) AS n_evaluation, first(slope0) AS calibration_slope, first(slope) AS slope, first(gate_hi) AS gate_hi, first(published) AS published,
+ SELECT split_part(instrument, ':', 1) AS instrument, split_part(instrument, ':', 2) AS model, n_evaluation, published, {rd('calibration_slope slope gate_hi band_q zero_mae raw_mae shrunk_mae coverage')} FROM (SELECT instrument, count(*) AS n_evaluation, first(slope0) AS calibration_slope, first(slope) AS slope, first(gate_hi) AS gate_hi, first(published) AS published,
   first(band_q) AS band_q, avg(abs(y)) AS zero_mae, avg(abs(y - p)) AS raw_mae, avg(abs(y - slope * p)) AS shrunk_mae, avg(CAST(s <= band_q AS INT)) AS coverage FROM z JOIN q USING (instrument) WHERE part = 'evaluate' GROUP BY 1)""")
 def slope_gate(v):
-    return rounded(E.slope_gate(oof_rows(v), "instrument", "date", 1))
+    return rounded(E.slope_gate(oof_rows(v), ["instrument", "model"], "date", 1))
 
 
 @query("feature_set_ablation")

@@ -161,15 +161,15 @@ def score_outlook(v):
     return rounded(O.score_outlook(outlook(v), acts, newest), 4)
 
 
-@query("first_passage", """WITH i AS (SELECT instrument, session AS issued, ordinal, d AS days, close * (1 + d / 100.0) AS level FROM v_bars JOIN v_cal USING (session) CROSS JOIN (SELECT unnest([5, 20]) AS d) WHERE ordinal % 10 = 0),
+@query("first_passage", """WITH i AS (SELECT instrument, session AS issued, ordinal, d AS days, close * (1 + d / 100.0) AS level FROM v_bars JOIN v_cal USING (session) CROSS JOIN (SELECT unnest([5, 20]) AS d)),
  f AS (SELECT instrument, ordinal, close FROM v_bars JOIN v_cal USING (session))
- SELECT instrument, issued, days, round(level, 6) AS level, count(close) AS seen, CASE WHEN max(close) >= level THEN 1.0::DOUBLE WHEN count(close) >= days THEN 0.0 END AS reached
+ SELECT instrument, issued, days, round(level, 9) AS level, count(close) AS seen, CASE WHEN max(close) >= level THEN 1.0::DOUBLE WHEN count(close) >= days THEN 0.0 END AS reached
  FROM i LEFT JOIN f ON f.instrument = i.instrument AND f.ordinal BETWEEN i.ordinal + 1 AND i.ordinal + days GROUP BY i.instrument, issued, days, level""".replace("SELECT instrument, issued, days, round", "SELECT i.instrument, issued, days, round"))
 def first_passage(v):
     cal = v.calendar
-    i = v.bars.join(cal.select("session", "ordinal"), "session").filter("ordinal % 10 = 0").withColumn("days", F.explode(F.array(F.lit(5), F.lit(20))))
+    i = v.bars.join(cal.select("session", "ordinal"), "session").withColumn("days", F.explode(F.array(F.lit(5), F.lit(20))))
     i = i.select("instrument", F.col("session").alias("issued"), "days", (F.col("close") * (1 + F.col("days") / 100)).alias("level"))
-    return rounded(O.first_passage(i, v.bars, cal))
+    return rounded(O.first_passage(i, v.bars, cal), 9)
 
 
 @query("level_reach_history", " UNION ALL ".join(f"""SELECT instrument, {n} AS horizon, {x}::DOUBLE AS level, count(*) AS n, round(avg(CAST(m >= {x} AS INT)), 6) AS share FROM (SELECT instrument, CASE WHEN count(close) OVER w = {n} THEN max(close) OVER w / close - 1 END AS m

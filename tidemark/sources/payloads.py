@@ -125,7 +125,7 @@ def disclosures(df: DataFrame, payload="payload", kind="buyback", start="start",
     d = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), r"[^0-9]", ""), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3").try_cast("date")
     amount = F.coalesce(*[F.nullif(F.nullif(F.trim(a), F.lit("-")), F.lit("")) for a in amounts])
     return r.select(*names(keep), F.lit(kind).alias("kind"), d(start).alias("start"), d(end).alias("end"), number_of(amount).alias("amount"),
-                    F.substring(F.trim("purpose"), 1, 80).alias("purpose"), F.col("number").alias("filing")).dropna(subset=["start", "end"])
+                    F.trim("purpose").alias("purpose"), F.col("number").alias("filing")).dropna(subset=["start", "end"])
 
 
 def cumulative_to_period(df: DataFrame, by, year="year", quarter="quarter", value="value") -> DataFrame:

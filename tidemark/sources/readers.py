@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,11 +30,18 @@ def monthly_close(bars: DataFrame, complete_before) -> DataFrame:
     return f.filter(F.last_day("month") < complete_before)
 
 
+def missing_path(error: AnalysisException) -> bool:
+    """Whether a read failed because nothing is there, and not for any other reason."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def read_bars(spark: SparkSession, folder: str) -> DataFrame:
     """OHLCV snapshots: Parquet where present, else CSV."""
     try:
         return spark.read.schema(BARS).parquet(f"{folder}/*.parquet")
-    except Exception:  # no Parquet in the folder
+    except AnalysisException as e:
+        if not missing_path(e):
+            raise
         return spark.read.schema(BARS).option("header", True).csv(f"{folder}/*.csv")
 
 
@@ -64,9 +72,14 @@ def source_priority(candidates: list[tuple[str, DataFrame]], key) -> DataFrame:
 
 
 def load_series(load, fallback: DataFrame, key) -> DataFrame:
-    """Fresh rows from a caller's loader first, the archive for keys it lacks; a loader that fails leaves the archive."""
+    """Fresh rows from a caller's loader first, the archive for keys it lacks; the archive alone where the loader finds
+    no file or reaches no host. Any other failure of the loader is raised."""
     try:
         fresh = load()
-    except Exception:  # the loader's own failure means there is no fresh source
+    except (FileNotFoundError, ConnectionError):
+        return source_priority([("archive", fallback)], key)
+    except AnalysisException as e:
+        if not missing_path(e):
+            raise
         return source_priority([("archive", fallback)], key)
     return source_priority([("fresh", fresh), ("archive", fallback)], key)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ledger as L
@@ -73,10 +73,18 @@ def versions_sink(path: str, key, observed: str, values):
     return each
 
 
-def scores_sink(path: str, ledger: DataFrame, bars: Callable[[], DataFrame], now) -> Callable[[DataFrame, int], None]:
-    """Grade the forecasts whose target session arrived in this batch; earlier grades are never undone."""
+def scores_sink(path: str, ledger: DataFrame, bars: Callable[[], DataFrame], now: Callable[[], Column]) -> Callable[[DataFrame, int], None]:
+    """Grade all forecasts of the instruments in a batch whose target session has come and that have no grade yet.
+
+    A forecast that cannot be graded now, because its deadline or its reference bar is still to come, stays due and is
+    looked at again with every later batch of its instrument, by the clock of that batch. Grades are never undone.
+    """
     def each(arrived: DataFrame, batch: int) -> None:
-        days = arrived.select("instrument", F.col("session").alias("target_date")).distinct()
-        due = ledger.join(days, ["instrument", "target_date"], "left_semi")
-        write_batch(L.score_forecasts(due, bars(), now).filter("status = 'scored'"), path, batch)
+        landed, at = bars(), now()
+        newest = landed.join(arrived.select("instrument").distinct(), "instrument", "left_semi").groupBy("instrument").agg(F.max("session").alias("_newest"))
+        due = ledger.join(newest, "instrument").filter(F.col("target_date") <= F.col("_newest")).drop("_newest")
+        if _exists(arrived.sparkSession, path):
+            graded = arrived.sparkSession.read.parquet(path).filter(F.col("batch") < batch).select("record_id")
+            due = due.join(graded, "record_id", "left_anti")
+        write_batch(L.score_forecasts(due, landed, at).filter("status = 'scored'"), path, batch)
     return each
