@@ -90,3 +90,15 @@ def test_append_sink_keeps_the_first(spark, tmp_path):
     each(mk(("a", 9), ("c", 3)), 1)
     each(mk(("a", 9), ("c", 3)), 1)
     assert sorted(tuple(r)[:2] for r in spark.read.parquet(str(tmp_path / "a")).select("record_id", "v").collect()) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_robots_origins_and_late_attribution(spark):
+    t = lambda m, s=0: dt.datetime(2024, 1, 2, 10, m, s)
+    hit = lambda i, ts, ua="Mozilla", source="web", origin="https://own.example", ref="": (i, ts, "v", "main", ua, source, origin, ref)
+    rows = [hit(1, t(0)), hit(2, t(9), source="email"), hit(3, t(11)), hit(4, t(12), ua="curl/8"), hit(5, t(13), origin="https://else.example"),
+            hit(6, t(30), origin="", ref="https://own.example/page"), hit(7, t(31), origin="", ref=""), hit(8, t(45), ua="HeadlessChrome")]
+    h = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, visitor string, page string, ua string, source string, origin string, referrer string")
+    own = T.countable(h, own=["https://own.example"])
+    assert sorted(r.event_id for r in own.collect()) == [1, 2, 3, 6]
+    got = {r.event_id: (r.source, r.attributed_by) for r in T.attributed_visits(own).collect()}
+    assert got == {1: ("email", 2), 3: ("", None), 6: ("", None)}

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BOTS = r"(?i)bot|crawl|spider|slurp|preview"
+#: Parts of the user agents of robots and scripts.
+ROBOTS = ["bot", "crawler", "spider", "crawling", "slurp", "facebookexternalhit", "preview", "monitor", "curl", "wget", "python-requests", "headless"]
+BOTS = "(?i)" + "|".join(ROBOTS)
 
 
 def device_class(ua: Column) -> Column:
@@ -28,6 +30,13 @@ def referrer_host(url: Column, own=()) -> Column:
     return F.when(host.isNull() | host.isin(*own), "").otherwise(host) if own else F.coalesce(host, F.lit(""))
 
 
+def from_own_page(origin: Column, referrer: Column, own) -> Column:
+    """Whether a request comes from one of our origins: by its Origin header, or without one by its referrer."""
+    parts = [F.try_parse_url(referrer, F.lit(p)) for p in ("PROTOCOL", "AUTHORITY")]
+    told = F.coalesce(F.nullif(origin, F.lit("")), F.concat(parts[0], F.lit("://"), parts[1]))
+    return F.coalesce(told.isin(*own), F.lit(False))
+
+
 def email_attribution(url: Column):
     """(edition_day, edition_phase) of an email visit; missing unless each parameter occurs once and is valid."""
     query = F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit(""))

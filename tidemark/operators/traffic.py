@@ -14,8 +14,10 @@ def with_day(hits: DataFrame) -> DataFrame:
     return hits.withColumn("day", F.col("ts").cast("date"))
 
 
-def countable(hits: DataFrame, bots: str = web.BOTS) -> DataFrame:
-    return hits.filter(~F.col("ua").rlike(bots))
+def countable(hits: DataFrame, bots: str = web.BOTS, own=None) -> DataFrame:
+    """Hits that count: no robots, and with ``own`` origins given only requests that come from them."""
+    people = hits.filter(~F.coalesce(F.col("ua"), F.lit("")).rlike(bots))
+    return people if own is None else people.filter(web.from_own_page(F.col("origin"), F.col("referrer"), own))
 
 
 def dedup_hits(hits: DataFrame, minutes: int = 10) -> DataFrame:
@@ -40,6 +42,21 @@ def dedup_hits(hits: DataFrame, minutes: int = 10) -> DataFrame:
         *key, F.timestamp_micros("e._s").cast("timestamp_ntz").alias("ts"), "e.event_id")
 
 
+def attributed_visits(hits: DataFrame, minutes: int = 10) -> DataFrame:
+    """Counted visits with the first email hit among themselves and the hits that they absorbed.
+
+    A visit that came without attribution takes it from a later hit of the same visitor and page that did not count.
+    """
+    key = ["visitor", "page", "day"]
+    counted = dedup_hits(hits, minutes).withColumnsRenamed({"event_id": "visit"})
+    every = with_day(countable(hits)).select(*key, "ts", "event_id", "source").join(counted, [*key, "ts"], "left")
+    owner = F.last("visit", ignorenulls=True).over(Window.partitionBy(*key).orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    email = F.when(F.col("source") == "email", F.struct("ts", "event_id"))
+    return (every.withColumn("visit", owner).groupBy(*key, "visit").agg(F.min("ts").alias("ts"), F.min(email).alias("first"))
+            .select(*key, "ts", F.col("visit").alias("event_id"), F.when(F.col("first").isNotNull(), "email").otherwise("").alias("source"),
+                    F.col("first.event_id").alias("attributed_by")))
+
+
 def running_totals(counted: DataFrame) -> DataFrame:
     return counted.groupBy("page").agg(F.count(F.lit(1)).alias("total"))
 

@@ -9,21 +9,31 @@ from ..operators import ledger as L
 from ..operators import outlook as O
 from ..operators import quotes as U
 from ..operators import sets as S
+from ..functions.web import BOTS
 from ..operators import traffic as T
 from .bindings import sql_unit, unit
 from .registry import query
 from .rounding import rounded
 from .scalars import _grid_sql, gaps_of, open_grid
 
-_dedup = """hd AS (SELECT visitor, page, CAST(ts AS DATE) AS day, list(DISTINCT ts) AS l FROM v_hits WHERE NOT regexp_matches(ua, '(?i)bot|crawl|spider|slurp|preview') GROUP BY ALL),
+_dedup = f"""hd AS (SELECT visitor, page, CAST(ts AS DATE) AS day, list(DISTINCT ts) AS l FROM v_hits WHERE NOT regexp_matches(ua, '{BOTS}') GROUP BY ALL),
  cv AS (SELECT visitor, page, day, unnest(list_reduce(list_sort(l), lambda acc, x: CASE WHEN epoch(x) - epoch(acc[-1]) >= 600 THEN list_append(acc, x) ELSE acc END, list_sort(l)[1:1])) AS ts FROM hd)"""
 
 
-@query("hit_dedup_stream", f"WITH {_dedup} SELECT cv.*, (SELECT min(event_id) FROM v_hits h WHERE h.visitor = cv.visitor AND h.page = cv.page AND h.ts = cv.ts AND NOT regexp_matches(ua, '(?i)bot')) AS event_id FROM cv")
+@query("hit_dedup_stream", f"WITH {_dedup} SELECT cv.*, (SELECT min(event_id) FROM v_hits h WHERE h.visitor = cv.visitor AND h.page = cv.page AND h.ts = cv.ts AND NOT regexp_matches(ua, '{BOTS}')) AS event_id FROM cv")
 def hit_dedup_stream(v):
     return T.dedup_hits(v.hits)
 
 
+@query("visit_attribution", f"""WITH {_dedup}, p AS (SELECT event_id, visitor, page, CAST(ts AS DATE) AS day, ts, source FROM v_hits WHERE NOT regexp_matches(ua, '{BOTS}')),
+ n AS (SELECT *, lead(ts) OVER (PARTITION BY visitor, page, day ORDER BY ts) AS nx FROM cv)
+ SELECT n.visitor, n.page, n.day, n.ts, min(p.event_id) FILTER (p.ts = n.ts) AS event_id, CASE WHEN bool_or(source = 'email') THEN 'email' ELSE '' END AS source,
+  arg_min(p.event_id, {{'a': p.ts, 'b': p.event_id}}) FILTER (source = 'email') AS attributed_by
+ FROM n JOIN p ON p.visitor = n.visitor AND p.page = n.page AND p.day = n.day AND p.ts >= n.ts AND (nx IS NULL OR p.ts < nx) GROUP BY n.visitor, n.page, n.day, n.ts""")
+def visit_attribution(v):
+    return T.attributed_visits(v.hits)
+
+
 @query("running_totals_stream", f"WITH {_dedup} SELECT page, count(*) AS total FROM cv GROUP BY 1")
 def running_totals_stream(v):
     return T.running_totals(T.dedup_hits(v.hits))
