@@ -26,6 +26,7 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 PHRASE = np.dtype([("name", "<u8"), ("text", "<u8"), ("at", "<u4"), ("need", "u1")])
 SUFFIX = np.dtype([("name", "<u8"), ("text", "<u8"), ("at", "<u4")])
+PLACE = np.dtype([("text", "<u8"), ("at", "<u4")])
 CONTEXT = np.dtype([("core", "V16"), ("low", "u1"), ("high", "u1"), ("side", f"V{2 * SIDE}"), ("row", "<i8"), ("cut", "<u4"), ("known", "u1")])
 
 
@@ -241,17 +242,28 @@ def _suffix_stage(buckets: int):
     return run
 
 
-def _adjacent_stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes in order of their names; those equal to a neighbour, as one binary of places a text."""
-    fresh, known = _gathered(batches, SUFFIX, SUFFIX)
-    fresh = _own(fresh)
-    out = np.concatenate([fresh[_twins(fresh)], known])
+def _adjacent_stage(buckets: int):
+    """Suffixes in order of their names; the places of those equal to a neighbour go back to their text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh, known = _gathered(batches, SUFFIX, SUFFIX)
+        fresh = _own(fresh)
+        out = np.concatenate([fresh[_twins(fresh)], known])
+        places = np.zeros(len(out), PLACE)
+        places["text"], places["at"] = out["text"], out["at"]
+        yield from _blobs(0, places, places["text"] % np.uint64(buckets))
+
+    return run
+
+
+def _places_stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a text: its suspect places."""
+    (out,) = _gathered(batches, PLACE)
     out = out[np.lexsort((out["at"], out["text"]))]
     if len(out):
         heads = np.nonzero(np.concatenate([[True], out["text"][1:] != out["text"][:-1]]))[0]
         ends = np.append(heads[1:], len(out))
         yield pa.RecordBatch.from_arrays([pa.array(out["text"][heads].view(np.int64)),
-                                          pa.array([np.unique(out["at"][a:b]).astype("<u4").tobytes() for a, b in zip(heads, ends)], pa.large_binary())],
+                                          pa.array([np.unique(out["at"][a:b]).astype("<u4").tobytes() for a, b in zip(heads, ends)], pa.binary())],
                                          names=["number", "places"])
 
 
@@ -297,7 +309,7 @@ def _met_stage(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[p
             out = []
             for i, text in enumerate(texts, first):
                 long_enough = len(text) >= LENGTH
-                found = b"".join(places[i] or ()) if long_enough else b""
+                found = (places[i] or b"") if long_enough else b""
                 whole = long_enough and hashlib.md5(text).hexdigest() in (copied[i] or ())
                 settled = whole or not found
                 spans = [(0, len(text))] if whole else []
@@ -515,7 +527,7 @@ def repeated_bytes(documents: DataFrame, key: str = "doc_id", text: str = "text"
     names = rows.select("body").mapInArrow(_phrase_stage(buckets), _ROWS)
     repeated = dealt(names, _repeated_stage(buckets), _ROWS)
     suffixes = dealt(repeated, _suffix_stage(buckets), _ROWS)
-    suspects = dealt(suffixes, _adjacent_stage, "number long, places binary").groupBy("number").agg(F.collect_list("places").alias("places"))
+    suspects = dealt(dealt(suffixes, _adjacent_stage(buckets), _ROWS), _places_stage, "number long, places binary")
 
     digest = F.md5("body")
     number = lambda c: F.conv(F.substring(c, 1, 16), 16, -10).cast("long")
