@@ -518,11 +518,10 @@ def repeated_bytes(documents: DataFrame, key: str = "doc_id", text: str = "text"
     """
     spark = documents.sparkSession
     rows = documents.select(F.col(f"`{key}`").alias("key"), F.encode(no_null(F.col(f"`{text}`")), "UTF-8").alias("body"))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    buckets = 4 * tasks
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def dealt(frame: DataFrame, stage, schema: str) -> DataFrame:
-        return frame.repartition(tasks, "bucket").mapInArrow(stage, schema)
+        return frame.repartitionById(buckets, "bucket").mapInArrow(stage, schema)
 
     names = rows.select("body").mapInArrow(_phrase_stage(buckets), _ROWS)
     repeated = dealt(names, _repeated_stage(buckets), _ROWS)
