@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,12 +16,12 @@ from pyspark.sql import types as T
 from .common import written
 from .decontaminate import slices
 
-SIZES = (3, 4, 5)
-HASH_BITS = 18
+SIZES = (3, 4, 5, 6, 7, 8)
+HASH_BITS = 20
 #: The classifier is fitted on at most so many labelled rows, the first by hash of the key.
 MAX_LABELLED = 8000
 #: Features kept: those whose ratio weighs most, of the 2**HASH_BITS hashed ones.
-MAX_FEATURES = 4000
+MAX_FEATURES = 8000
 MIN_ROWS = 5
 CHUNK = 1 << 20
 
@@ -32,14 +32,13 @@ def grams(text: bytes) -> Iterator[np.ndarray]:
     widest = max(SIZES)
     for at in range(0, len(low), CHUNK):
         codes = np.frombuffer(low[at:at + CHUNK + widest - 1], np.uint8).astype(np.uint32)
-        for n in SIZES:
-            if len(codes) < n:
-                continue
-            h = np.full(len(codes) - n + 1, n, np.uint32)
-            for k in range(n):
-                h = h * np.uint32(0x01000193) ^ codes[k:len(codes) - n + 1 + k]
-            h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-            yield h >> np.uint32(32 - HASH_BITS)
+        h = np.zeros(len(codes), np.uint32)
+        for k in range(min(widest, len(codes))):
+            m = len(codes) - k
+            h = h[:m] * np.uint32(0x01000193) ^ codes[k:]
+            if k + 1 in SIZES:
+                g = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B + 2 * k)
+                yield (g ^ (g >> np.uint32(13))) >> np.uint32(32 - HASH_BITS)
 
 
 def present(text: bytes) -> np.ndarray:
@@ -89,36 +88,41 @@ def fitted(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
             found = [present(t) for _, texts in slices(batch.column(1)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["label", "grams"])
 
+    def tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic, n = np.zeros(1 << HASH_BITS, np.int64), np.zeros(1 << HASH_BITS, np.int64)
+        for batch in batches:
+            for x, found in zip(batch.column(0).to_pylist(), batch.column(1)):
+                at = found.values.to_numpy()
+                n[at] += 1
+                toxic[at] += int(x)
+        at = np.nonzero(n)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(toxic[at]), pa.array(n[at])], names=["gram", "toxic", "n"])
+
     rows = written(training_rows(documents, labels, key, text, label, limit)
                    .mapInArrow(presences, "label double, grams array<long>"), "toxic-grams")
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         share = 0.999 if sizes.get(1.0) else 0.001
         return Weights(np.zeros(0, np.int64), np.zeros(0), math.log(share / (1 - share)))
-    counts = (rows.select("label", F.explode("grams").alias("gram")).groupBy("gram")
-              .agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).toPandas())  # 2**HASH_BITS rows at most
+    counts = (rows.mapInArrow(tallies, "gram long, toxic long, n long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+              .filter(F.col("n") >= MIN_ROWS).orderBy("gram").toPandas())  # 2**HASH_BITS rows at most
     p, q = 1.0 + counts.toxic, 1.0 + counts.n - counts.toxic
     ratio = np.log((p / (1 + sizes[1.0])) / (q / (1 + sizes[0.0]))).to_numpy()
-    weight = np.where(counts.n >= MIN_ROWS, np.abs(ratio) * np.sqrt(p.to_numpy()), 0.0)
+    weight = np.abs(ratio) * np.sqrt(p.to_numpy())
     best = np.argsort(-weight, kind="stable")[:MAX_FEATURES]
     best = best[weight[best] > 0]
     places, scale = counts.gram.to_numpy()[best], ratio[best]
     slot = np.full(1 << HASH_BITS, -1, np.int32)
     slot[places] = np.arange(len(places))
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for found in batch.column(1).to_pylist():
-                x = np.zeros(len(places))
-                at = slot[found]
-                at = at[at >= 0]
-                x[at] = scale[at]
-                out.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["label", "x"])
-
-    dense = rows.mapInArrow(vectors, "label double, x array<double>").select("label", array_to_vector("x").alias("features"))
-    model = LogisticRegression(maxIter=60, regParam=1e-3, standardization=False).fit(dense)
+    @F.udf(VectorUDT())
+    def vector(grams):
+        at = slot[np.array(grams, np.int64)]
+        at = np.sort(at[at >= 0])
+        return Vectors.sparse(len(places), at, scale[at])
+
+    scaled = rows.select("label", vector("grams").alias("features"))  # at most ``limit`` rows
+    model = LogisticRegression(maxIter=60, regParam=1e-4, standardization=False).fit(scaled)
     return Weights(places, model.coefficients.toArray() * scale, model.intercept)
 
 
