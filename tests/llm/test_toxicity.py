@@ -49,7 +49,7 @@ def test_long_null_and_repeated(spark):
     assert len(rows) == 409 and out.columns == ["doc_id", "held_out", "score", "predicted"]
     score = {r.doc_id: r.score for r in rows}
     assert score[999] > score[998]  # the end of a long text counts
-    assert all(r.score is not None for r in rows) and [r.held_out for r in rows if r.doc_id is None] == [False]
+    assert all(r.score is not None for r in rows) and [r.held_out for r in rows if r.doc_id is None] == [False, False]
 
 
 def test_one_class_none_and_empty(spark):
