@@ -76,11 +76,11 @@ def purge_check(v):
 
 @query("panel_folds", f"""WITH p AS (SELECT instrument, session, {lead('session')} AS label_date FROM v_thin), d AS (SELECT session, row_number() OVER (ORDER BY session DESC) - 1 AS back FROM (SELECT DISTINCT session FROM p)), n AS (SELECT greatest(least(126, floor(count(*) / 5)), 1) AS size FROM d),
  k AS (SELECT session, CAST(floor(back / size) AS INT) AS k FROM d, n), s AS (SELECT session, 3 - s AS split, CASE WHEN k = s THEN 'validate' ELSE 'train' END AS side FROM k CROSS JOIN (SELECT unnest([0, 1, 2]) AS s) WHERE k >= s),
- r AS (SELECT *, CASE WHEN label_date < DATE '2000-01-01' AND session >= DATE '1995-01-01' THEN 'train' WHEN instrument = 'Brand#1' AND session BETWEEN DATE '2000-01-01' AND DATE '2000-06-30' THEN 'test' END AS role FROM p)
+ r AS (SELECT *, CASE WHEN label_date < DATE '2001-07-01' AND session >= DATE '1996-07-01' THEN 'train' WHEN instrument = 'Brand#1' AND session BETWEEN DATE '2001-07-01' AND DATE '2001-11-30' THEN 'test' END AS role FROM p)
  SELECT split, side, role, CAST(instrument = 'Brand#1' AS INT) AS "is_Brand#1", count(*) AS n FROM r JOIN s USING (session) WHERE role IS NOT NULL GROUP BY ALL""")
 def panel_folds(v):
     p = v.thin.select("instrument", "session", B.ahead("session").alias("label_date"))
-    r = E.panel_roles(p, "session", "label_date", "2000-01-01", "2000-06-30", F.col("instrument") == "Brand#1")
+    r = E.panel_roles(p, "session", "label_date", "2001-07-01", "2001-11-30", F.col("instrument") == "Brand#1")
     s = E.date_blocks(v.thin.select("instrument", "session"), "session")
     j = r.join(s, ["instrument", "session"])
     return E.one_hot(j, "instrument", ["Brand#1"]).groupBy("split", "side", "role", "is_Brand#1").agg(F.count(F.lit(1)).alias("n"))
@@ -107,19 +107,27 @@ def build_panel(v):
     return rounded(f.join(B.band_label(v.thin), ["instrument", "session"]).withColumnRenamed("session", "date"))
 
 
-_seq = f"""c AS (SELECT ordinal, session FROM v_cal), sp AS (SELECT instrument, min(ordinal) AS a, max(ordinal) AS b FROM v_thin JOIN c USING (session) GROUP BY 1),
+def _seq(table, back):
+    """Sessions of each instrument with what a window of ``back`` sessions before and four after them holds."""
+    return f"""c AS (SELECT ordinal, session FROM v_cal), sp AS (SELECT instrument, min(ordinal) AS a, max(ordinal) AS b FROM {table} JOIN c USING (session) GROUP BY 1),
  g AS (SELECT sp.instrument, c.session, c.ordinal, sp.a, sp.b FROM sp JOIN c ON c.ordinal BETWEEN sp.a AND sp.b),
- x AS (SELECT g.*, open, high, low, close, volume FROM g LEFT JOIN v_thin t ON t.instrument = g.instrument AND t.session = g.session),
- ac AS (SELECT instrument, session, coalesce((open / pc <= 0.05 AND close / pc <= 0.05) OR (open / pc >= 20 AND close / pc >= 20), false) AS act FROM (SELECT *, {lag('close')} AS pc FROM v_thin)),
+ x AS (SELECT g.*, open, high, low, close, volume FROM g LEFT JOIN {table} t ON t.instrument = g.instrument AND t.session = g.session),
+ ac AS (SELECT instrument, session, coalesce((open / pc <= 0.05 AND close / pc <= 0.05) OR (open / pc >= 20 AND close / pc >= 20), false) AS act FROM (SELECT *, {lag('close')} AS pc FROM {table})),
  y AS (SELECT x.*, coalesce(act, false) AS act FROM x LEFT JOIN ac USING (instrument, session)),
- w AS (SELECT *, count(close) OVER (PARTITION BY instrument ORDER BY ordinal ROWS BETWEEN 30 PRECEDING AND 4 FOLLOWING) AS present, bool_or(act) OVER (PARTITION BY instrument ORDER BY ordinal ROWS BETWEEN 30 PRECEDING AND 4 FOLLOWING) AS acted,
+ w AS (SELECT *, count(close) OVER (PARTITION BY instrument ORDER BY ordinal ROWS BETWEEN {back} PRECEDING AND 4 FOLLOWING) AS present, bool_or(act) OVER (PARTITION BY instrument ORDER BY ordinal ROWS BETWEEN {back} PRECEDING AND 4 FOLLOWING) AS acted,
    lead(close, 4) OVER (PARTITION BY instrument ORDER BY ordinal) / lag(close) OVER (PARTITION BY instrument ORDER BY ordinal) - 1 AS yy FROM y)"""
 
 
-@query("build_sequences", f"""WITH {_seq} SELECT instrument, session AS prediction_date, CASE WHEN ordinal - 30 < a THEN 'insufficient_history' WHEN ordinal + 4 > b THEN 'pending_target' WHEN present < 35 THEN 'missing_bar' WHEN acted THEN 'corporate_action' ELSE '' END AS reason,
- CASE WHEN reason = '' THEN 10 END AS length, round(CASE WHEN reason = '' THEN yy END, 6) AS y FROM w""")
+def _windows_sql(table, lookback, back):
+    return f"""SELECT instrument, session AS prediction_date, CASE WHEN ordinal - {back} < a THEN 'insufficient_history' WHEN ordinal + 4 > b THEN 'pending_target' WHEN present < {back + 5} THEN 'missing_bar' WHEN acted THEN 'corporate_action' ELSE '' END AS reason,
+ CASE WHEN reason = '' THEN {lookback} END AS length, round(CASE WHEN reason = '' THEN yy END, 6) AS y FROM (WITH {_seq(table, back)} SELECT * FROM w)"""
+
+
+@query("build_sequences", f"{_windows_sql('v_bars', 60, 80)} UNION ALL {_windows_sql('v_thin', 10, 30)}")
 def build_sequences(v):
-    s = Q.build_sequences(v.thin, v.calendar, lookback=10, horizon=5, volume_window=20, jump=0.95)
+    """The default windows on the dense instruments, and shorter ones on brands that often lack a bar."""
+    s = Q.build_sequences(v.bars, v.calendar, lookback=60, horizon=5, volume_window=20, jump=0.95).unionByName(
+        Q.build_sequences(v.thin, v.calendar, lookback=10, horizon=5, volume_window=20, jump=0.95), allowMissingColumns=True)
     return rounded(s.select("instrument", "prediction_date", "reason", F.when(F.col("reason") == "", F.size("window")).alias("length"), "y"))
 
 

@@ -204,7 +204,8 @@ def email_attribution(v):
     return tagged_urls(v).select("page_id", day.alias("edition_day"), phase.alias("edition_phase"))
 
 
-@query("mask_secrets")
+@query("mask_secrets", r"""WITH m AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, 'https?://\S+', '<url>', 'g'), '(?i)\b(key|crtfc_key|api_key|token|secret|serviceKey)=[^&\s]+', '<masked>', 'g') AS t FROM documents)
+ SELECT doc_id, CASE WHEN regexp_matches(t, '(?i)(api[_-]?key|secret|token|passwd|password|authorization)') THEN '<withheld>' ELSE t END AS masked, left(sha256(text), 8) AS fingerprint FROM m""")
 def mask_secrets(v):
     return v.documents.select("doc_id", text.mask_secrets(F.col("text")).alias("masked"), text.fingerprint(F.col("text")).alias("fingerprint"))
 

@@ -178,13 +178,14 @@ def level_reach_history(v):
     return rounded(O.level_reach_history(v.bars))
 
 
-@query("score_ai_daily", """WITH d AS (SELECT instrument, session AS target_date, close, open, high, ret, CASE WHEN ret > 0 THEN 'up' WHEN ret < 0 THEN 'down' WHEN ret = 0 THEN 'flat' ELSE 'none' END AS direction, close * 0.99 AS pc FROM v_vol)
+@query("score_ai_daily", """WITH d AS (SELECT instrument, session AS target_date, close, open, high, ret, CASE WHEN pr > 0 THEN 'up' WHEN pr < 0 THEN 'down' WHEN pr = 0 THEN 'flat' ELSE 'none' END AS direction, pc FROM (SELECT *, lag(ret) OVER w AS pr, lag(close) OVER w AS pc FROM v_vol WINDOW w AS (PARTITION BY instrument ORDER BY session)))
  SELECT instrument, target_date, CASE WHEN close - pc > 0 THEN 'up' WHEN close - pc < 0 THEN 'down' ELSE 'flat' END AS actual_direction, CASE WHEN close - pc > 0 THEN 'up' WHEN close - pc < 0 THEN 'down' ELSE 'flat' END = direction AS direction_correct,
  round(abs(high - open) / open * 100, 6) AS open_ape_pct, round(abs(open - close) / close * 100, 6) AS close_ape_pct FROM d""")
 def score_ai_daily(v):
     f = B.with_vol20(v.bars)
-    way = F.when(F.col("ret") > 0, "up").when(F.col("ret") < 0, "down").when(F.col("ret") == 0, "flat").otherwise("none")
-    docs = f.select("instrument", F.col("session").alias("target_date"), (F.col("close") * 0.99).alias("previous_close"), F.col("high").alias("predicted_open"),
+    f = f.withColumns({"_before": B.lagged("close", 1), "_last": B.lagged("ret", 1)})
+    way = F.when(F.col("_last") > 0, "up").when(F.col("_last") < 0, "down").when(F.col("_last") == 0, "flat").otherwise("none")
+    docs = f.select("instrument", F.col("session").alias("target_date"), F.col("_before").alias("previous_close"), F.col("high").alias("predicted_open"),
                     F.col("open").alias("predicted_close"), way.alias("direction"))
     return rounded(O.score_daily_document(docs, v.bars))
 

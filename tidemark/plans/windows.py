@@ -197,7 +197,7 @@ def moving_average_touch(v):
     return rounded(B.moving_average_touch(v.bars))
 
 
-@query("price_context", f"""WITH j AS (SELECT b.*, p.close AS peer_close FROM v_bars b LEFT JOIN (SELECT session, close FROM v_thin WHERE instrument = 'Brand#1') p USING (session))
+@query("price_context", f"""WITH j AS (SELECT b.*, p.close AS peer_close FROM v_bars b LEFT JOIN (SELECT session, close FROM v_bars WHERE instrument = 'A') p USING (session))
  SELECT instrument, session, {rd('prior_high_20 distance_20 prior_high_60 distance_60 excess_5 excess_20 excess_60')},
  close_breakout_20, intraday_breakout_20, close_breakout_60, intraday_breakout_60 FROM (SELECT instrument, session,
  {', '.join(f"t{n} AS prior_high_{n}, close / t{n} - 1 AS distance_{n}, close > t{n} AS close_breakout_{n}, high > t{n} AS intraday_breakout_{n}" for n in (20, 60))},
@@ -205,7 +205,7 @@ def moving_average_touch(v):
  FROM (SELECT *, {', '.join(f"{full('max', 'high', n, 1)} AS t{n}" for n in (20, 60))},
   {', '.join(f"count(peer_close) OVER ({W} ROWS {n} PRECEDING) AS n{n}" for n in (5, 20, 60))} FROM j))""")
 def price_context(v):
-    peer = v.thin.filter("instrument = 'Brand#1'").select("session", F.col("close").alias("peer_close"))
+    peer = v.bars.filter("instrument = 'A'").select("session", F.col("close").alias("peer_close"))
     return rounded(B.price_context(v.bars, peer))
 
 
