@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from .common import fresh_folder
 
 BUCKET_BYTES = 16 << 20
+#: The manifest is broadcast up to so many buckets, and joined beyond.
+MAX_BROADCAST_BUCKETS = 100_000
 
 
 def record_size(text: str = "text"):
@@ -55,6 +57,8 @@ def read_shards(spark: SparkSession, folder: str, shards: int = 8) -> DataFrame:
     everything = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     manifest = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"),
                              F.sum("n").over(everything).alias("total"))
+    if (rows.agg(F.max("bucket")).first()[0] or 0) < MAX_BROADCAST_BUCKETS:
+        manifest = F.broadcast(manifest)  # so many rows of three numbers at most
     placed = rows.join(manifest, "bucket").withColumn("place", F.col("start") + F.col("at"))
     shard = F.expr(f"cast(place * {shards} div total as int)")
     return (placed.withColumn("shard", shard)
