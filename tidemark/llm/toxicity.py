@@ -16,12 +16,12 @@ from pyspark.sql import types as T
 from .common import written
 from .decontaminate import slices
 
-SIZES = (3, 4, 5, 6, 7, 8)
-HASH_BITS = 20
+SIZES = (3, 4, 5, 6, 7)
+HASH_BITS = 18
 #: The classifier is fitted on at most so many labelled rows, the first by hash of the key.
 MAX_LABELLED = 8000
 #: Features kept: those whose ratio weighs most, of the 2**HASH_BITS hashed ones.
-MAX_FEATURES = 8000
+MAX_FEATURES = 4000
 MIN_ROWS = 5
 CHUNK = 1 << 20
 
@@ -83,29 +83,25 @@ def training_rows(documents: DataFrame, labels: DataFrame, key: str, text: str,
 def fitted(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
            limit: int = MAX_LABELLED) -> Weights:
     """Ratios from n-gram counts of both classes, then a logistic regression over the scaled presence features."""
-    def presences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [present(t) for _, texts in slices(batch.column(1)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["label", "grams"])
-
     def tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, n = np.zeros(1 << HASH_BITS, np.int64), np.zeros(1 << HASH_BITS, np.int64)
+        toxic, n = np.zeros(1 << HASH_BITS, np.int32), np.zeros(1 << HASH_BITS, np.int32)
         for batch in batches:
-            for x, found in zip(batch.column(0).to_pylist(), batch.column(1)):
-                at = found.values.to_numpy()
-                n[at] += 1
-                toxic[at] += int(x)
+            marks = batch.column(0).to_pylist()
+            for first, texts in slices(batch.column(1)):
+                for mark, text in zip(marks[first:], texts):
+                    at = present(text)
+                    n[at] += 1
+                    toxic[at] += int(mark)
         at = np.nonzero(n)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(toxic[at]), pa.array(n[at])], names=["gram", "toxic", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(toxic[at]), pa.array(n[at])], names=["gram", "toxic", "n"])
 
-    rows = written(training_rows(documents, labels, key, text, label, limit)
-                   .mapInArrow(presences, "label double, grams array<long>"), "toxic-grams")
+    rows = written(training_rows(documents, labels, key, text, label, limit), "toxic-texts")
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         share = 0.999 if sizes.get(1.0) else 0.001
         return Weights(np.zeros(0, np.int64), np.zeros(0), math.log(share / (1 - share)))
-    counts = (rows.mapInArrow(tallies, "gram long, toxic long, n long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-              .filter(F.col("n") >= MIN_ROWS).orderBy("gram").toPandas())  # 2**HASH_BITS rows at most
+    counts = (rows.mapInArrow(tallies, "gram int, toxic int, n int").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+              .filter(F.col("n") >= MIN_ROWS).toPandas().sort_values("gram"))  # 2**HASH_BITS rows at most
     p, q = 1.0 + counts.toxic, 1.0 + counts.n - counts.toxic
     ratio = np.log((p / (1 + sizes[1.0])) / (q / (1 + sizes[0.0]))).to_numpy()
     weight = np.abs(ratio) * np.sqrt(p.to_numpy())
@@ -116,12 +112,12 @@ def fitted(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     slot[places] = np.arange(len(places))
 
     @F.udf(VectorUDT())
-    def vector(grams):
-        at = slot[np.array(grams, np.int64)]
+    def vector(text):
+        at = slot[present((text or "").encode())]
         at = np.sort(at[at >= 0])
         return Vectors.sparse(len(places), at, scale[at])
 
-    scaled = rows.select("label", vector("grams").alias("features"))  # at most ``limit`` rows
+    scaled = rows.select("label", vector("text").alias("features"))  # at most ``limit`` rows
     model = LogisticRegression(maxIter=60, regParam=1e-4, standardization=False).fit(scaled)
     return Weights(places, model.coefficients.toArray() * scale, model.intercept)
 
