@@ -5,6 +5,8 @@ import gzip
 from collections import Counter
 from pathlib import Path
 
+import pytest
+
 from tidemark.llm import warc
 
 from .cases import prose
@@ -64,3 +66,31 @@ def test_files_are_warc(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert warc.archive_round_trip(pages(spark, ROWS).filter("false"), str(tmp_path / "w")).count() == 0
+
+
+def test_payloads_and_cuts_that_end_in_line_ends(spark, tmp_path):
+    ends = ["\r\n", "\r", "\n", "\r\n\r", "\r\n\r\n", "\r\n" * 3, "\r\r\n", "\n\r\n"]
+    rows = [(i, "u", "</html>" * (i % 3) + e) for i, e in enumerate(ends * 3)]
+    want = {(k, len(h), hashlib.sha1(h.encode()).hexdigest()) for k, _, h in rows}
+    for parts in (1, len(rows)):  # many records a file, and each the last of its file
+        folder = str(tmp_path / f"w{parts}")
+        warc.write_warc(warc.chunk_table(pages(spark, rows)).repartition(parts), folder)
+        out = warc.archived_records(spark, folder).collect()
+        assert len(out) == len(rows) and {(r.page_id, r.payload_bytes, r.payload_digest) for r in out} == want
+    long = [(1, "u", "a\r\nb\r\n\r\n\rc\n" * 40), (2, "u", "\r\n" * 300)]
+    for size in (1, 2, 3, 4, 5, 7):
+        folder = str(tmp_path / f"c{size}")
+        warc.write_warc(warc.chunk_table(pages(spark, long), chunk_bytes=size), folder)
+        chunks = warc.read_warc(spark, folder).collect()
+        for k, _, h in long:
+            own = sorted((r.chunk_no, bytes(r.chunk)) for r in chunks if r.page_key == str(k))
+            assert [c for _, c in own] == [h.encode()[a:a + size] for a in range(0, len(h), size)]
+
+
+def test_lost_bytes_are_told(spark, tmp_path):
+    warc.write_warc(warc.chunk_table(pages(spark, ROWS[2:3])), str(tmp_path / "w"))
+    (file,) = [p for p in Path(tmp_path / "w").glob("*.gz")]
+    (tmp_path / "short").mkdir()
+    (tmp_path / "short" / "x.txt.gz").write_bytes(gzip.compress(gzip.decompress(file.read_bytes())[:-6]))
+    with pytest.raises(Exception, match="the archive ends inside record"):
+        warc.read_warc(spark, str(tmp_path / "short")).collect()

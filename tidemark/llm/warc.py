@@ -87,7 +87,7 @@ def write_warc(chunks: DataFrame, folder: str) -> None:
     chunks.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").text(folder)
 
 
-def _fields(head: bytes) -> dict[str, str]:
+def _fields(head: bytes | bytearray) -> dict[str, str]:
     out = {}
     for line in head.decode("utf-8").split("\r\n")[1:]:
         name, _, value = line.partition(": ")
@@ -101,37 +101,53 @@ def _page(uri: str | None) -> str | None:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records out of the pieces between ``\\r\\n\\r\\n``; holds one chunk, its head and a running digest at a time."""
+    """Records cut by their declared lengths; holds one chunk, its head and a running digest at a time.
+
+    The text reader splits at every ``\\r\\n\\r\\n``, two bytes early where a chunk ends in CR LF; so its pieces are joined
+    again and nothing rests on where they were split.
+    """
+    end = END.encode()
     head: dict | None = None
-    have: list[bytes] = []
-    size, origin, digest, seen = 0, {}, hashlib.sha1(), 0
+    buffer = bytearray()
+    origin, digest, seen = {}, hashlib.sha1(), 0
     out: list[tuple] = []
     held = 0
     for batch in batches:
         for piece in batch.column(0).to_pylist():
-            if head is None:
-                head, have, size = _fields(piece), [], -len(END)
-                if head.get("WARC-Type") != "continuation":
-                    origin, digest, seen = head, hashlib.sha1(), 0
-                continue
-            have.append(piece)
-            size += len(piece) + len(END)
-            if size < int(head["Content-Length"]):
-                continue
-            chunk = END.encode().join(have)
-            digest.update(chunk)
-            part = int(head.get("WARC-Segment-Number", 1))
-            seen += len(chunk)
-            total = int(origin["X-Payload-Length"])
-            last = origin["WARC-Type"] == "revisit" or seen == total
-            out.append((_page(origin["WARC-Record-ID"]), origin["WARC-Type"], _page(origin.get("WARC-Refers-To")),
-                        origin.get("WARC-Target-URI"), total, origin["WARC-Payload-Digest"].removeprefix("sha1:"), part - 1,
-                        chunk, digest.copy().hexdigest(), last))
-            held += len(chunk)
-            head = None
+            buffer += piece
+            buffer += end
+            while buffer:
+                if head is None:
+                    raw, _, buffer = buffer.partition(end)
+                    if not raw.startswith(b"WARC/"):
+                        raise ValueError(f"no record head: {bytes(raw[:80])!r}")
+                    head = _fields(raw)
+                    if head.get("WARC-Type") != "continuation":
+                        origin, digest, seen = head, hashlib.sha1(), 0
+                size = int(head["Content-Length"])
+                if len(buffer) < size + len(end):
+                    break
+                chunk = bytes(buffer[:size])
+                if buffer[size:size + len(end)] != end:
+                    raise ValueError(f"no separator after record {head['WARC-Record-ID']}")
+                del buffer[:size + len(end)]
+                if buffer == end:  # a file that ends in such an early split has the rest, CR LF, as its last piece
+                    buffer.clear()
+                digest.update(chunk)
+                part = int(head.get("WARC-Segment-Number", 1))
+                seen += len(chunk)
+                total = int(origin["X-Payload-Length"])
+                last = origin["WARC-Type"] == "revisit" or seen == total
+                out.append((_page(origin["WARC-Record-ID"]), origin["WARC-Type"], _page(origin.get("WARC-Refers-To")),
+                            origin.get("WARC-Target-URI"), total, origin["WARC-Payload-Digest"].removeprefix("sha1:"), part - 1,
+                            chunk, digest.copy().hexdigest(), last))
+                held += len(chunk)
+                head = None
             if held >= 4 << 20 or len(out) >= 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), CHUNKS)], schema=CHUNKS)
                 out, held = [], 0
+    if head is not None:
+        raise ValueError(f"the archive ends inside record {head['WARC-Record-ID']}")
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), CHUNKS)], schema=CHUNKS)
 
