@@ -117,3 +117,26 @@ def test_near_duplicates_and_one_of_each(spark):
 def test_empty_table(spark):
     frame = documents(spark, awkward()).filter("false")
     assert simhash.near_duplicates(frame).count() == 0 and simhash.one_of_each_group(frame).count() == 0
+
+
+def test_other_splits_between_the_steps(spark, tmp_path, monkeypatch):
+    """Cores that come or go between two scans change the splits and so the row numbers; the rows stay the same."""
+    rows = [(i, prose(i // 2, 60)) for i in range(60)]
+    documents(spark, rows).repartition(12).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    before, label = spark.conf.get("spark.sql.files.openCostInBytes"), simhash.labelled_fingerprints
+
+    def labelled(*args):
+        out = label(*args)
+        spark.conf.set("spark.sql.files.openCostInBytes", "512m")  # a split a file from now on
+        return out
+
+    monkeypatch.setattr(simhash, "labelled_fingerprints", labelled)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        kept = sorted(r.doc_id for r in simhash.one_of_each_group(docs).collect())
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert kept == list(range(0, 60, 2))

@@ -225,10 +225,13 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 
 def one_of_each_group(documents: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """The documents with all their columns, one row of each component: that of the smallest key (null is smallest), of
-    rows that repeat it the first. The input must be a table that gives the same rows in the same order when reread."""
-    numbered = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("record"), F.col(f"`{key}`").alias("key"),
-                                F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("row"))
-    ids = numbered.select(F.struct("key", "row").alias("id"), "text")
+    rows that repeat it the first.
+
+    Row numbers change with the splits of a scan, so the numbered rows are written and both steps read that table.
+    """
+    numbered = written(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("record"),
+                                        F.monotonically_increasing_id().alias("row")), "numbered")
+    ids = numbered.select(F.struct(F.col(f"record.`{key}`").alias("key"), "row").alias("id"), F.col(f"record.`{text}`").alias("text"))
     nodes = written(fingerprints(ids, "id", "text").groupBy("fp").agg(F.min("id").alias("low")), "nodes")
     stay = labelled_fingerprints(nodes, radius).groupBy("root").agg(F.min("low").alias("low")).select("low.row")
-    return numbered.select("row", "record").join(stay, "row", "left_semi").select("record.*")
+    return numbered.join(stay, "row", "left_semi").select("record.*")
