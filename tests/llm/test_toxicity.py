@@ -1,7 +1,9 @@
 """Held-out accuracy, leakage and degenerate labels."""
 
+import random
 import zlib
 
+import numpy as np
 import pytest
 
 from tidemark.llm import toxicity
@@ -64,3 +66,21 @@ def test_chunks_lose_no_gram(monkeypatch):
     whole = set(toxicity.present(text).tolist())
     monkeypatch.setattr(toxicity, "CHUNK", 64)
     assert set(toxicity.present(text).tolist()) == whole
+
+
+def test_long_text_lights_no_feature_by_chance():
+    """A long text lights the features that it has, however many n-grams it holds."""
+    words = [f"idiot{i:04d}"[:8].encode() for i in range(0, 10000, 10)]
+    features = np.unique(np.concatenate([toxicity.present(w) for w in words]))
+    model = toxicity.Weights(features, np.ones(len(features)), 0.0)
+    pick = random.Random(5)
+    text = "".join(pick.choice("bcfghjklmnpqrsuvwxyz ") for _ in range(300_000)).encode()
+    own = set(toxicity.present(text).tolist())
+    assert len(own) > 500_000
+    assert set(features[model.lit(text)].tolist()) == own & set(features.tolist())
+    assert toxicity.SIZES == (3, 4, 5, 6, 7, 8) and toxicity.MAX_FEATURES == 8000
+
+
+def test_grams_are_bytes():
+    want = {int.from_bytes(b" a\xff\xc3\xa4b "[i:i + k]) for k in range(3, 9) for i in range(8 - k)}
+    assert set(toxicity.present("A\0Äb".encode()).tolist()) == want

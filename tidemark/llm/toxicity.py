@@ -16,36 +16,50 @@ from pyspark.sql import types as T
 from .common import written
 from .decontaminate import slices
 
-SIZES = (3, 4, 5, 6, 7)
-HASH_BITS = 18
+SIZES = (3, 4, 5, 6, 7, 8)
+#: Bits of the filter that n-grams pass before they are looked up.
+FILTER_BITS = 18
 #: The classifier is fitted on at most so many labelled rows, the first by hash of the key.
 MAX_LABELLED = 8000
-#: Features kept: those whose ratio weighs most, of the 2**HASH_BITS hashed ones.
-MAX_FEATURES = 4000
+#: Features kept: the n-grams whose ratio weighs most.
+MAX_FEATURES = 8000
 MIN_ROWS = 5
 CHUNK = 1 << 20
+#: A task's tallies are folded whenever so many n-grams wait.
+FLUSH = 2_000_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def grams(text: bytes) -> Iterator[np.ndarray]:
-    """Hashed n-grams of the lower-cased text, a chunk at a time; chunks overlap, so no n-gram is lost."""
-    low = b" " + text.decode("utf-8", "replace").lower().encode() + b" "
-    widest = max(SIZES)
+def grams(text: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    """Size and n-grams of the lower-cased text, a chunk at a time; chunks overlap, so no n-gram is lost.
+
+    An n-gram is its own bytes in a 64-bit number, so no two share a number; a zero byte counts as 0xFF, which no UTF-8 has.
+    """
+    low = b" " + text.decode("utf-8", "replace").lower().encode().replace(b"\0", b"\xff") + b" "
     for at in range(0, len(low), CHUNK):
-        codes = np.frombuffer(low[at:at + CHUNK + widest - 1], np.uint8).astype(np.uint32)
-        h = np.zeros(len(codes), np.uint32)
-        for k in range(min(widest, len(codes))):
-            m = len(codes) - k
-            h = h[:m] * np.uint32(0x01000193) ^ codes[k:]
-            if k + 1 in SIZES:
-                g = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B + 2 * k)
-                yield (g ^ (g >> np.uint32(13))) >> np.uint32(32 - HASH_BITS)
+        n = min(CHUNK, len(low) - at)
+        eight = np.ndarray((n,), ">u8", low[at:at + n + 7].ljust(n + 7, b"\0"), strides=(1,)).astype(np.uint64)
+        for size in SIZES:
+            yield size, eight[:max(0, min(n, len(low) - at - size + 1))] >> np.uint64(64 - 8 * size)
 
 
 def present(text: bytes) -> np.ndarray:
-    seen = np.zeros(1 << HASH_BITS, bool)
-    for h in grams(text):
-        seen[h] = True
-    return np.nonzero(seen)[0]
+    """The different n-grams of the text."""
+    parts: dict[int, list[np.ndarray]] = {size: [] for size in SIZES}
+    for size, g in grams(text):
+        own = parts[size]
+        own.append(np.unique(g))
+        while len(own) > 1 and len(own[-2]) <= 2 * len(own[-1]):
+            own[-2:] = [np.union1d(own[-2], own[-1])]
+    return np.concatenate([np.unique(np.concatenate(own)) if len(own) > 1 else own[0] for own in parts.values()])
+
+
+def folded(grams: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row an n-gram: the sums of its counts."""
+    order = np.argsort(grams, kind="stable")
+    grams = grams[order]
+    heads = np.nonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))[0] if len(grams) else order
+    return grams[heads], *((np.add.reduceat(c[order], heads, dtype=c.dtype) if len(heads) else c) for c in (toxic, n))
 
 
 def held_out(key: str) -> Column:
@@ -54,19 +68,33 @@ def held_out(key: str) -> Column:
 
 
 class Weights:
-    """A hashed n-gram's feature number (-1: none), the feature weights and the offset."""
-
-    def __init__(self, places: np.ndarray, weights: np.ndarray, offset: float):
-        self.places = np.full(1 << HASH_BITS, -1, np.int32)
-        self.places[places] = np.arange(len(places))
-        self.weights, self.offset = weights, offset
+    """The n-grams that are features, in order, their weights and the offset."""
+
+    def __init__(self, features: np.ndarray, weights: np.ndarray, offset: float):
+        self.features, self.weights, self.offset = features, weights, offset
+        self.filter = np.zeros(1 << FILTER_BITS, bool)
+        self.filter[self._slots(features)] = True
+
+    @staticmethod
+    def _slots(grams: np.ndarray) -> np.ndarray:
+        return (grams * _MIX) >> np.uint64(64 - FILTER_BITS)
+
+    def places(self, grams: np.ndarray) -> np.ndarray:
+        """Numbers of the features among the n-grams; whole n-grams are compared."""
+        grams = grams[self.filter[self._slots(grams)]]
+        at = np.searchsorted(self.features, grams)
+        at[at == len(self.features)] = 0
+        return at[self.features[at] == grams] if len(self.features) else at[:0]
+
+    def lit(self, text: bytes) -> np.ndarray:
+        """Which features the text has."""
+        seen = np.zeros(len(self.features), bool)
+        for _, g in grams(text):
+            seen[self.places(g)] = True
+        return seen
 
     def score(self, text: bytes) -> float:
-        seen = np.zeros(len(self.weights), bool)
-        for h in grams(text):
-            found = self.places[h]
-            seen[found[found >= 0]] = True
-        z = self.offset + float(self.weights[seen].sum())
+        z = self.offset + float(self.weights[self.lit(text)].sum())
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
@@ -84,42 +112,51 @@ def fitted(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
            limit: int = MAX_LABELLED) -> Weights:
     """Ratios from n-gram counts of both classes, then a logistic regression over the scaled presence features."""
     def tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, n = np.zeros(1 << HASH_BITS, np.int32), np.zeros(1 << HASH_BITS, np.int32)
+        held, waiting = [], 0
+
+        def batch_of(held):
+            columns = folded(*(np.concatenate(c) for c in zip(*held)))
+            return columns, pa.RecordBatch.from_arrays([pa.array(c) for c in (columns[0].view(np.int64), *columns[1:])], names=["gram", "toxic", "n"])
+
         for batch in batches:
             marks = batch.column(0).to_pylist()
             for first, texts in slices(batch.column(1)):
                 for mark, text in zip(marks[first:], texts):
                     at = present(text)
-                    n[at] += 1
-                    toxic[at] += int(mark)
-        at = np.nonzero(n)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(toxic[at]), pa.array(n[at])], names=["gram", "toxic", "n"])
+                    held.append((at, np.full(len(at), int(mark), np.int32), np.ones(len(at), np.int32)))
+                    waiting += len(at)
+                    if waiting >= FLUSH:
+                        columns, out = batch_of(held)
+                        held, waiting = [columns], 0
+                        if len(columns[0]) >= FLUSH:
+                            yield out
+                            held = []
+        if held:
+            yield batch_of(held)[1]
 
     rows = written(training_rows(documents, labels, key, text, label, limit), "toxic-texts")
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         share = 0.999 if sizes.get(1.0) else 0.001
-        return Weights(np.zeros(0, np.int64), np.zeros(0), math.log(share / (1 - share)))
-    counts = (rows.mapInArrow(tallies, "gram int, toxic int, n int").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-              .filter(F.col("n") >= MIN_ROWS).toPandas().sort_values("gram"))  # 2**HASH_BITS rows at most
-    p, q = 1.0 + counts.toxic, 1.0 + counts.n - counts.toxic
-    ratio = np.log((p / (1 + sizes[1.0])) / (q / (1 + sizes[0.0]))).to_numpy()
-    weight = np.abs(ratio) * np.sqrt(p.to_numpy())
-    best = np.argsort(-weight, kind="stable")[:MAX_FEATURES]
-    best = best[weight[best] > 0]
-    places, scale = counts.gram.to_numpy()[best], ratio[best]
-    slot = np.full(1 << HASH_BITS, -1, np.int32)
-    slot[places] = np.arange(len(places))
+        return Weights(np.zeros(0, np.uint64), np.zeros(0), math.log(share / (1 - share)))
+    counts = (rows.mapInArrow(tallies, "gram long, toxic int, n int").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+              .filter(F.col("n") >= MIN_ROWS))
+    p, q = 1.0 + F.col("toxic"), 1.0 + F.col("n") - F.col("toxic")
+    ratio = F.log((p / (1 + sizes[1.0])) / (q / (1 + sizes[0.0])))
+    best = (counts.select("gram", ratio.alias("ratio"), (F.abs(ratio) * F.sqrt(p)).alias("weight")).filter("weight > 0")
+            .orderBy(F.desc("weight"), "gram").limit(MAX_FEATURES).toPandas())  # MAX_FEATURES rows at most
+    order = np.argsort(best.gram.to_numpy(np.int64).view(np.uint64))
+    features, scale = best.gram.to_numpy(np.int64).view(np.uint64)[order], best.ratio.to_numpy(float)[order]
+    found = Weights(features, scale, 0.0)
 
     @F.udf(VectorUDT())
     def vector(text):
-        at = slot[present((text or "").encode())]
-        at = np.sort(at[at >= 0])
-        return Vectors.sparse(len(places), at, scale[at])
+        at = np.nonzero(found.lit((text or "").encode()))[0]
+        return Vectors.sparse(len(features), at, scale[at])
 
     scaled = rows.select("label", vector("text").alias("features"))  # at most ``limit`` rows
     model = LogisticRegression(maxIter=60, regParam=1e-4, standardization=False).fit(scaled)
-    return Weights(places, model.coefficients.toArray() * scale, model.intercept)
+    return Weights(features, model.coefficients.toArray() * scale, model.intercept)
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
@@ -131,7 +168,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, key: str = "doc_id"
     table gives no rows.
     """
     model = fitted(documents, labels, key, text, label, limit)
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # fixed size: 2**HASH_BITS numbers
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # fixed size: MAX_FEATURES numbers and the filter
     rows = documents.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
