@@ -78,3 +78,17 @@ def test_deep_and_unclosed():
     text = htmltext.Page("<div>" * 20000 + "x").segments
     assert text[-1][1] == "x"
     assert htmltext.Page('<a title="' + "x" * 100_000 + "<p>y").segments
+
+
+def test_quoted_values_of_any_length():
+    shown = lambda source: [t for n, t, _ in htmltext.Page(source).segments if n >= 0]
+    for size in (100, 9_000, 3_000_000):
+        for q, other in ("\"'", "'\""):
+            value = "x" * size + f"<b>leak</b> <p class={other}y{other}>leaked text</p>"
+            page = htmltext.Page(f"<article><div data-json = {q}{value}{q} class='post'>seen</div></article>")
+            assert [t for n, t, _ in page.segments if n >= 0] == ["seen"] and page.tag == ["html", "article", "div"]
+    # A stray quote opens nothing, and neither does one that nothing closes.
+    far = "w " * 10_000
+    assert shown(f'<p title="5"">{far}</p><p id="z">b</p>') == [far, "b"]
+    assert shown(f"<p title=5'>{far}</p><p it's>b</p>") == [far, "b"]
+    assert shown(f'<p title="5>{far}</p>') == [far]

@@ -21,7 +21,9 @@ from .common import no_null, written
 MAX_PAGES = 150
 ROUNDS, DEPTH = 20, 4
 
-_ATTRS = r"""((?:[^>"']++|"[^"]{0,8192}"|'[^']{0,8192}'|["'])*+)"""
+#: A quote opens a value only behind ``=``, as in browsers, and the value has any length; one that nothing closes, the
+#: page's last of its kind, is a letter like others.
+_ATTRS = r"""((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|["'=])*+)"""
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)" + _ATTRS + ">", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
