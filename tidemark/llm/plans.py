@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, htmltext, pieces, quality, repeats, sharding, simhash, toxicity, urls, warc
+from . import decontaminate, divergence, htmltext, lines, pieces, quality, repeats, sharding, simhash, toxicity, urls, vectorcodes, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,6 +150,84 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def _lloyd_sql(rounds: int = 2) -> str:
+    """The rounds unrolled: every part meets every entry of its codebook."""
+    distance = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+    nearest = "SELECT rid, part, any_value(x) AS x, min({{'d': {0}, 'e': e}}) AS best FROM x JOIN book{1} USING (part) GROUP BY rid, part"
+    steps = []
+    for r in range(rounds):
+        steps.append(f"near{r} AS MATERIALIZED ({nearest.format(distance, r)})")
+        steps.append(f"""book{r + 1} AS MATERIALIZED (
+  SELECT b.part, b.e, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN (
+    SELECT part, e, list((s - (s % n + n) % n) // n ORDER BY i) AS c FROM (
+      SELECT part, best.e AS e, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM near{r}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) GROUP BY 1, 2, 3)
+    GROUP BY part, e) m ON b.part = m.part AND b.e = m.e)""")
+    return ",\n".join([*steps, f"coded AS MATERIALIZED ({nearest.format(distance, rounds)})"])
+
+
+@query("op11_vector_codes", f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label,
+         list_transform(embedding, lambda v: floor(256 * v::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+x AS MATERIALIZED (SELECT rid, p AS part, v[p * len(v) // 16 + 1:(p + 1) * len(v) // 16] AS x FROM kept, (SELECT unnest(range(16)) AS p)),
+book0 AS MATERIALIZED (SELECT part, rid - 1 AS e, x AS c FROM x WHERE rid <= 64),
+{_lloyd_sql()},
+whole AS (SELECT rid, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM coded GROUP BY rid),
+out AS (SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error FROM whole JOIN kept USING (rid)),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM out, digest""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = vectorcodes.vector_codes(table(spark, folder, "embeddings"))
+    return vectorcodes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(vectorcodes.books_digest(books)).alias("codebooks_sha256"))
+
+
+@query("op12_line_dedup", f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS MATERIALIZED (
+  SELECT rid, doc_id, i, line, {_FOLD.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS k
+  FROM (SELECT rid, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM docs)),
+crowded AS (SELECT k, max(doc_id) AS top FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT rid, lines.doc_id, i, line, coalesce(lines.doc_id <> top, false) AS goes FROM lines LEFT JOIN crowded USING (k))
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (goes)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT goes), '')) AS kept_sha256
+FROM marked GROUP BY rid""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    out = lines.deduplicated_lines(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op13_source_divergence", r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (
+  SELECT rid, lang, source, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM (SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS word FROM d)),
+kept AS MATERIALIZED (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= 30),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+vs AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS MATERIALIZED (
+  SELECT lang, source, coalesce(total, 0) AS total, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) USING (lang, source) LEFT JOIN vs USING (lang)),
+p AS MATERIALIZED (
+  SELECT g.lang, g.source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (total + 5 * v)::HUGEINT AS p
+  FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS MATERIALIZED (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v)::HUGEINT AS q
+  FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY ALL) JOIN vs USING (lang)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+    ON a.lang = s.lang AND a.source = s.source AND b.source = s.item),
+terms AS (SELECT p.lang, p.source, p.term AS item, (p.p - q.q)::BIGINT AS value FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p.p > q.q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM ranked)
+WHERE part = 'pair' OR rank <= 50""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
