@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, no_null, written
+from .common import ascii_lower, let, no_null, written
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
@@ -25,8 +25,9 @@ def _names(value, prefix: str) -> list:
 def line_places(documents: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """One row a line whose key has ``min_chars`` code points: ``doc``, the text's name (t1, t2), the key's name (h1, h2)
     and ``places``, the numbers of its lines in the text. The key is the line without white space at its ends, A-Z lower-cased."""
-    rows = documents.select(F.col(f"`{key}`").alias("doc"), *_names(no_null(f"`{text}`"), "t"),
-                            F.posexplode(F.split(ascii_lower(no_null(f"`{text}`")), "\n", -1)).alias("place", "line"))
+    # The text is named before it is exploded; beside the explode it would be named once a line.
+    named = documents.select(F.col(f"`{key}`").alias("doc"), *_names(no_null(f"`{text}`"), "t"), F.split(ascii_lower(no_null(f"`{text}`")), "\n", -1).alias("lines"))
+    rows = named.select("doc", "t1", "t2", F.posexplode("lines").alias("place", "line"))
     stripped = rows.withColumn("line", F.btrim("line", F.lit(_ENDS))).filter(F.char_length("line") >= min_chars)
     return stripped.select("doc", "t1", "t2", *_names(F.col("line"), "h"), "place")
 
@@ -60,11 +61,12 @@ def dropped_places(documents: DataFrame, key: str = "doc_id", text: str = "text"
     return lost.groupBy("doc", "t1", "t2").agg(F.sort_array(F.collect_set("place")).alias("dropped"))
 
 
-def _kept(lines, dropped):
-    """The lines between the dropped ones, as slices: linear in the lines, however many are dropped."""
-    before = F.concat(F.array(F.lit(-1)), dropped)
-    after = F.concat(dropped, F.array(F.size(lines)))
-    return F.flatten(F.zip_with(before, after, lambda a, b: F.slice(lines, a + 2, b - a - 1)))
+def _left(body, dropped):
+    """The text put together from the places that are not dropped. ``array_except`` hashes, so this is linear in the lines
+    however many are dropped; the lines are bound once, as a lambda would split the text again at every place."""
+    kept = let(F.split(body, "\n", -1), lambda own: F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(own) - 1), dropped), lambda i: F.get(own, i)))
+    return F.when(dropped.isNull(), body).otherwise(F.array_join(kept, "\n"))
 
 
 def deduplicated_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS,
@@ -84,10 +86,9 @@ def deduplicated_lines(documents: DataFrame, key: str = "doc_id", text: str = "t
     rows = documents.select(F.col(f"`{key}`").alias("doc"), no_null(f"`{text}`").alias("body"))
     rows = rows.select("doc", "body", *_names(F.col("body"), "t"))
     met = rows.join(lost, F.col("doc").eqNullSafe(F.col("d")) & (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")), "left")
-    lines = F.split("body", "\n", -1)
     return met.select(
-        F.col("doc").alias(key), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("dropped").isNull(), F.col("body")).otherwise(F.array_join(_kept(lines, F.col("dropped")), "\n")).alias("kept"))
+        F.col("doc").alias(key), F.size(F.split("body", "\n", -1)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), _left(F.col("body"), F.col("dropped")).alias("kept"))
 
 
 def without_crowded_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS,
@@ -99,5 +100,4 @@ def without_crowded_lines(documents: DataFrame, key: str = "doc_id", text: str =
         F.col("doc").alias("d"), F.col("t1").alias("u1"), F.col("t2").alias("u2"), "dropped")
     rows = keyed.select("record", "doc", no_null("body").alias("body")).select("record", "doc", "body", *_names(F.col("body"), "t"))
     met = rows.join(lost, F.col("doc").eqNullSafe(F.col("d")) & (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")), "left")
-    left = F.when(F.col("dropped").isNull(), F.col("body")).otherwise(F.array_join(_kept(F.split("body", "\n", -1), F.col("dropped")), "\n"))
-    return met.select(*[left.alias(c) if c == text else F.col(f"record.`{c}`") for c in documents.columns])
+    return met.select(*[_left(F.col("body"), F.col("dropped")).alias(c) if c == text else F.col(f"record.`{c}`") for c in documents.columns])
