@@ -109,9 +109,44 @@ def version_spans(versions: DataFrame, key, observed: str, chunk_days: int = 365
     return asof_join(versions, later, observed, "valid_to", key, ["valid_to"], strict=True, forward=True, chunk_days=chunk_days)
 
 
-def known_at(versions: DataFrame, decisions: DataFrame, key, observed: str, decision: str, by=(), bucket_days=120):
+def known_sweep(versions: DataFrame, key, period: str, observed: str, value: str, chunk_days: int = 365) -> DataFrame:
+    """What is known of each key from each observation on: one row per (key, ``observed``), no row per period.
+
+    ``newest`` is the latest version of the latest period seen so far (period, observed_at, value), ``known`` the number of
+    periods seen, ``total`` the sum of their values as last revised. A version adds its change of value, and one to the count
+    if its period is new, so each is a running sum or maximum over observation time. The sweep is cut into time chunks: a
+    chunk runs by itself and starts from what earlier chunks of its key add up to, so no key is one task.
+    """
+    key = names(key)
+    w = Window.partitionBy(*key, period).orderBy(observed)
+    steps = versions.select(*key, F.col(observed).alias("_t"), F.struct(F.col(period).alias(period), F.col(observed).alias(observed), F.col(value).alias(value)).alias("_n"),
+                            (F.col(value) - F.coalesce(F.lag(value).over(w), F.lit(0))).alias("_d"), F.when(F.lag(observed).over(w).isNull(), 1).otherwise(0).cast("bigint").alias("_k"))
+    moments = steps.groupBy(*key, "_t").agg(F.max("_n").alias("_n"), F.sum("_d").alias("_d"), F.sum("_k").alias("_k")).withColumn("_c", _chunk("_t", chunk_days))
+    run = Window.partitionBy(*key, "_c").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    own = moments.select(*key, "_c", "_t", F.max("_n").over(run).alias("_n"), F.sum("_d").over(run).alias("_d"), F.sum("_k").over(run).alias("_k"))
+    before = Window.partitionBy(*key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = moments.groupBy(*key, "_c").agg(F.max("_n").alias("_n"), F.sum("_d").alias("_d"), F.sum("_k").alias("_k"))
+    carried = chunks.select(*key, "_c", F.max("_n").over(before).alias("_cn"), F.sum("_d").over(before).alias("_cd"), F.sum("_k").over(before).alias("_ck"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return own.join(carried, [*key, "_c"]).select(*key, F.col("_t").alias(observed), F.greatest("_n", F.coalesce("_cn", "_n")).alias("newest"),
+                                                  (F.col("_k") + zero("_ck")).alias("known"), (F.col("_d") + zero("_cd")).alias("total"))
+
+
+def _grid(versions: DataFrame, decisions: DataFrame, key, decision: str) -> DataFrame:
+    """Every key at every decision time: the shape of the answer. Decision times are a calendar and ride along as an array."""
+    times = decisions.agg(F.array_sort(F.collect_set(decision))).scalar()
+    return versions.select(*names(key)).distinct().withColumn(decision, F.explode(times))
+
+
+def known_at(versions: DataFrame, decisions: DataFrame, key, observed: str, decision: str, chunk_days: int = 365) -> DataFrame:
     """For every decision and key, the version that was newest then; later revisions never leak back."""
-    from .joins import range_join
+    values = [c for c in versions.columns if c not in names(key)]
+    met = asof_join(_grid(versions, decisions, key, decision), versions, decision, observed, key, values, chunk_days=chunk_days)
+    return met.filter(F.col(observed).isNotNull())
+
 
-    spans = version_spans(versions, key, observed)
-    return range_join(decisions, spans, decision, observed, "valid_to", by=by, bucket_days=bucket_days, open_end=True)
+def known_state(versions: DataFrame, decisions: DataFrame, key, period: str, observed: str, decision: str, value: str, chunk_days: int = 365) -> DataFrame:
+    """Per decision and key what was known of all its periods (see ``known_sweep``): nothing grows with decision times period."""
+    swept = known_sweep(versions, key, period, observed, value, chunk_days)
+    met = asof_join(_grid(versions, decisions, key, decision), swept, decision, observed, key, ["newest", "known", "total"], chunk_days=chunk_days)
+    return met.filter("newest is not null")

@@ -232,28 +232,4 @@ def model_comparison(pnl: DataFrame, by, model: str, date: str, value: str, spli
     return best.join(s.filter("late"), [*by, model]).select(*by, F.col(model), "selection_mean", F.col("days").alias("evaluation_days"), F.col("trades").alias("evaluation_trades"), F.col("mean").alias("evaluation_mean"))
 
 
-def nested_choice(rows_: DataFrame, folds: DataFrame, by, date: str, matures: str, bucket: str, y: str, half_lives=(126, 252, 504), inner_months: int = 6,
-                  default: int = 252, least_inner: int = 20, least_train: int = 500) -> DataFrame:
-    """Half life of recency weights per fold, chosen by log loss on the last inner months of the training rows only.
-
-    The model is the weighted class share per rule bucket, so every candidate is a group key of one aggregation.
-    """
-    by = names(by)
-    t = with_roles(rows_, folds, by, date, matures).filter("role = 'train'")
-    cut = F.add_months("t0", -inner_months)
-    t = t.withColumn("inner", F.col(date) >= cut).withColumn("fitting", F.col(matures) < cut)
-    size = t.groupBy(*by, "fold").agg(F.count(F.lit(1)).alias("n_train"), F.sum(F.col("inner").cast("bigint")).alias("n_inner"))
-    cand = t.filter("fitting").withColumn("hl", F.explode(F.array(*[F.lit(h) for h in half_lives])))
-    w = F.pow(F.lit(2.0), -F.datediff(cut, date) / F.col("hl"))
-    share = cand.groupBy(*by, "fold", "hl", bucket).agg(*[(F.sum(F.when(F.col(y) == k, w).otherwise(0.0)) + 1).alias(f"c{k}") for k in range(3)])
-    total = F.col("c0") + F.col("c1") + F.col("c2")
-    share = share.select(*by, "fold", "hl", bucket, F.array(*[F.col(f"c{k}") / total for k in range(3)]).alias("p"))
-    inner = t.filter("inner").select(*by, "fold", bucket, y).join(share, [*by, "fold", bucket])
-    loss = inner.groupBy(*by, "fold", "hl").agg(F.avg(-F.ln(F.greatest(F.get("p", F.col(y)), F.lit(1e-7)))).alias("loss"))
-    best = loss.groupBy(*by, "fold").agg(F.min(F.struct(F.round("loss", 12).alias("loss"), "hl")).alias("b"))
-    j = size.join(best, [*by, "fold"], "left")
-    enough = (F.col("n_inner") >= least_inner) & (F.col("n_train") >= least_train) & F.col("b").isNotNull()
-    return j.select(*by, "fold", "n_train", "n_inner", F.when(enough, F.col("b.hl")).otherwise(default).alias("half_life"), F.when(enough, F.col("b.loss")).alias("inner_loss"))
-
-
 verdict = labels.verdict

@@ -30,12 +30,12 @@ def moments(df: DataFrame, by, x: Sequence[str], y: Sequence[str] | str, weight:
         *names(by), F.array(*[F.col(f"_s{i}") for i in range(len(terms))]).alias(M))
 
 
-def accumulate(mom: DataFrame, by, order: str) -> DataFrame:
-    """Running sums of moment arrays over blocks of a group."""
+def accumulate(mom: DataFrame, by, order: str, k: int) -> DataFrame:
+    """Running sums of moment arrays over k columns, one window sum a moment, over blocks of a group."""
     w = series(by, order).rowsBetween(Window.unboundedPreceding, 0)
-    acc = F.aggregate(F.collect_list(M).over(w), F.array().cast("array<double>"), lambda a, m: F.when(F.size(a) == 0, m).otherwise(
-        F.zip_with(a, m, lambda u, v: u + v)))
-    return mom.withColumn(M, acc)
+    n = (k + 1) * (k + 2) // 2
+    return mom.select(*[c for c in mom.columns if c != M], *[F.sum(F.get(M, F.lit(i))).over(w).alias(f"_s{i}") for i in range(n)]).select(
+        *[c for c in mom.columns if c != M], F.array(*[F.col(f"_s{i}") for i in range(n)]).alias(M))
 
 
 def _unpack(m, k: int):
@@ -96,7 +96,7 @@ def expanding_coefficients(rows_: DataFrame, cuts: DataFrame, by, matures: str,
     every = starts.select(*by, F.posexplode("_t").alias("_i", "t0")).select(*by, (F.col("_i") + 1).alias("_k"), "t0")
     full = every.join(mom, [*by, "_k"], "left")
     zeros = F.array_repeat(F.lit(0.0), 1 + (len(x) + 1) + (len(x) + 1) * (len(x) + 2) // 2)
-    full = accumulate(full.withColumn(M, F.coalesce(M, zeros)), by, "_k")
+    full = accumulate(full.withColumn(M, F.coalesce(M, zeros)), by, "_k", len(x) + 1)
     coef = full.withColumn("n_train", F.get(M, F.lit(0)).cast("bigint")).withColumn("coef", solve(len(x), alpha, True, least)(M))
     return cuts.join(coef.select(*by, "t0", "n_train", "coef"), [*by, "t0"])
 
@@ -117,7 +117,7 @@ def expanding_ridge(rows_: DataFrame, by, order: str, known: Column, x, y: str,
     by = names(by)
     f = rows_.withColumn("_y", F.col(y) - F.col(offset) if offset else F.col(y)).withColumn("_k", known)
     mom = moments(f.dropna(subset=[*x, "_y", "_k"]), [*by, "_k"], x, "_y")
-    acc = accumulate(mom, by, "_k").withColumnRenamed("_k", "_at")
+    acc = accumulate(mom, by, "_k", len(x) + 1).withColumnRenamed("_k", "_at")
     j = asof_join(rows_, acc, order, "_at", by, [M], chunk_days=3650)
     c = j.withColumn("coef", solve(len(x), alpha, True, least)(M)).withColumn("n_train", F.get(M, F.lit(0)).cast("bigint")).drop(M)
     p = dot("coef", x)
@@ -145,7 +145,7 @@ def har_sigma(bars: DataFrame, h: int, refit: int = 60, least: int = 500) -> Dat
     first = usable.withColumn("_s", seen).filter(F.col("_s") == least).select(K, F.greatest(F.col("i") + 1 + h, F.lit(least + 1 + h)).alias("i0"))
     block = F.greatest(F.ceil((F.col("i") + 1 + h - F.col("i0")) / refit), F.lit(0)).cast("int")
     mom = moments(usable.join(first, K).withColumn("_k", block), [K, "_k"], x, "y")
-    coef = accumulate(mom, K, "_k").withColumn("coef", solve(3, 0.0, False, least)(M)).select(K, "_k", "coef")
+    coef = accumulate(mom, K, "_k", 4).withColumn("coef", solve(3, 0.0, False, least)(M)).select(K, "_k", "coef")
     now = f.filter(ok).join(first, K).filter("i >= i0").withColumn("_k", F.floor((F.col("i") - F.col("i0")) / refit).cast("int"))
     return now.join(coef, [K, "_k"]).select(K, T, F.exp(dot("coef", x)).alias("sigma_har"), F.exp("y").alias("realised"))
 
@@ -168,7 +168,7 @@ def ar_forecasts(df: DataFrame, by, order: str, value: str, horizons=(1, 3, 6, 1
     f = _lags(df, by, order, value, lags, difference)
     x = [f"_l{k}" for k in range(1, lags + 1)]
     use = f.dropna(subset=[*x, "_d"])
-    acc = accumulate(moments(use, [*by, order], x, "_d"), by, order).withColumn("coef", solve(lags, 0.0, False, least)(M))
+    acc = accumulate(moments(use, [*by, order], x, "_d"), by, order, lags + 1).withColumn("coef", solve(lags, 0.0, False, least)(M))
     recent = F.array(F.col("_d"), *[F.col(c) for c in x[:-1]])
     j = f.join(acc.select(*by, order, "coef"), [*by, order]).filter("coef is not null").withColumn("_recent", recent)
     top = max(horizons)
@@ -204,7 +204,7 @@ def var_forecasts(df: DataFrame, by, order: str, values, horizon: int, lags: int
     x = [f"_l{i}_{k}" for k in range(1, lags + 1) for i in range(len(values))]
     out = None
     for i in range(len(values)):
-        acc = accumulate(moments(f.dropna(subset=[*x, f"_d{i}"]), [*by, order], x, f"_d{i}"), by, order)
+        acc = accumulate(moments(f.dropna(subset=[*x, f"_d{i}"]), [*by, order], x, f"_d{i}"), by, order, len(x) + 1)
         part = acc.withColumn(f"_c{i}", solve(len(x), 0.0, False, least)(M)).select(*by, order, f"_c{i}")
         out = part if out is None else out.join(part, [*by, order])
     near = F.array(*[F.col(f"_d{i}") for i in range(len(values))], *[F.col(f"_l{i}_{k}") for k in range(1, lags) for i in range(len(values))])

@@ -123,13 +123,57 @@ def audience(editions: DataFrame, subscribers: DataFrame, deliveries: DataFrame,
     return due.join(lacking, ["edition", "email"], "left_anti").join(tried, ["edition", "email"], "left_anti")
 
 
-def eligible(editions: DataFrame, subscribers: DataFrame) -> DataFrame:
-    """(edition, email, page) with the subscription older than the edition."""
-    from .joins import range_join
+def eligible(editions: DataFrame, subscribers: DataFrame, salts: int = 64) -> DataFrame:
+    """(edition, created_at, email, page) with the subscription older than the edition.
 
-    spans = subscribers.withColumn("_end", F.lit(None).cast("timestamp_ntz"))
-    return range_join(editions, spans, "created_at", "since", "_end", bucket_days=180, open_end=True).select(
-        "edition", "created_at", "email", "page")
+    The answer has a row per edition and subscriber, so subscribers stay where their hash puts them and the editions, a
+    calendar, are copied to every one of the ``salts`` parts; no time bucket gathers them.
+    """
+    parts = editions.select("edition", "created_at").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    people = subscribers.select("email", "page", "since").withColumn("_part", F.pmod(F.xxhash64("email"), F.lit(salts)).cast("int"))
+    return people.join(parts, "_part").filter(F.col("since") <= F.col("created_at")).select("edition", "created_at", "email", "page")
+
+
+def audience_sizes(editions: DataFrame, subscribers: DataFrame) -> DataFrame:
+    """``edition`` and how many different subscribers it concerns, by a sweep: +1 on the day a subscriber first joins.
+
+    Joins fold to instants, instants to a running count, and each edition reads the count at its time; no pairs.
+    """
+    from .asof import asof_join
+
+    first = subscribers.groupBy("email").agg(F.min("since").alias("since")).filter("since is not null")
+    joined = first.groupBy("since").agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.lit(1))
+    month = joined.withColumn("_m", F.trunc(F.col("since").cast("date"), "MM"))
+    # Running count in two steps, so that no task holds all instants: inside each month, then over months.
+    own = F.sum("n").over(Window.partitionBy("_m").orderBy("since").rowsBetween(Window.unboundedPreceding, 0))
+    before = F.sum("n").over(Window.partitionBy("_all").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1))
+    months = month.groupBy("_m", "_all").agg(F.sum("n").alias("n")).select("_m", F.coalesce(before, F.lit(0)).alias("_before"))
+    running = month.withColumn("_own", own).join(months, "_m").select("_all", "since", (F.col("_own") + F.col("_before")).alias("audience"))
+    met = asof_join(editions.withColumn("_all", F.lit(1)), running, "created_at", "since", "_all", ["audience"])
+    return met.select("edition", F.coalesce("audience", F.lit(0)).cast("bigint").alias("audience"))
+
+
+def delivery_counts(editions: DataFrame, subscribers: DataFrame, deliveries: DataFrame, stopped: DataFrame) -> DataFrame:
+    """The rollup of ``delivery_history`` without its rows: audience sizes by a sweep, everything else from the deliveries.
+
+    An edition concerns its audience and whoever has a delivery. Deliveries tell their own statuses; those of the audience
+    without one are pending, or cancelled if the edition was stopped.
+    """
+    first = subscribers.groupBy("email").agg(F.min("since").alias("since"))
+    d = deliveries.join(first, "email", "left").join(editions.select("edition", "created_at"), "edition", "left")
+    inside = F.coalesce(F.col("since") <= F.col("created_at"), F.lit(False))
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
+    st = lambda s: n(F.col("status") == s)
+    open_ = ~F.coalesce(F.col("status").isin("sent", "sending", "failed", "cancelled"), F.lit(False))
+    g = d.groupBy("edition").agg(F.count(F.lit(1)).alias("_all"), n(inside).alias("_in"), n(F.col("attempts") > 0).alias("attempted"), st("sent").alias("accepted"), st("failed").alias("failed"),
+                                 st("cancelled").alias("_cancelled"), st("sending").alias("sending"), n(open_).alias("_open"), F.max("sent_at").alias("last_sent"))
+    j = audience_sizes(editions, subscribers).join(g, "edition", "full").join(stopped.select("edition", F.lit(True).alias("_stop")).distinct(), "edition", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    waiting = zero("audience") - zero("_in") + zero("_open")
+    stop = F.coalesce("_stop", F.lit(False))
+    return j.select("edition", (zero("audience") - zero("_in") + zero("_all")).alias("eligible"), zero("attempted").alias("attempted"), zero("accepted").alias("accepted"), zero("failed").alias("failed"),
+                    (zero("_cancelled") + F.when(stop, waiting).otherwise(0)).alias("cancelled"), zero("sending").alias("sending"), F.when(stop, F.lit(0)).otherwise(waiting).cast("bigint").alias("remaining"),
+                    "last_sent").filter("eligible > 0")
 
 
 def delivery_history(editions: DataFrame, subscribers: DataFrame, deliveries: DataFrame, stopped: DataFrame) -> DataFrame:

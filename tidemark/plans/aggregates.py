@@ -253,7 +253,7 @@ def email_traffic(v):
  max(sent_at) AS last_sent FROM hist GROUP BY 1""")
 def delivery_rollup(v):
     editions, subs, deliveries, stopped, _ = mailing(v)
-    return T.delivery_rollup(T.delivery_history(editions, subs, deliveries, stopped))
+    return T.delivery_counts(editions, subs, deliveries, stopped)
 
 
 @query("quality_report", """WITH s AS (SELECT *, strftime(ts, '%H:%M') AS slot FROM v_intraday), nv AS (SELECT instrument, session, count(*) AS nv FROM (SELECT *, lag(close) OVER (PARTITION BY instrument, slot ORDER BY session) AS pv FROM s) WHERE pv IS NULL OR pv <> close GROUP BY ALL),

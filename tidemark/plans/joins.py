@@ -61,10 +61,8 @@ def asof_with_expiry(v):
  SELECT decision, key, arg_max(period, period) AS period, arg_max(value, period) AS value, arg_max(observed_at, period) AS observed_at, count(*) AS known_periods FROM k GROUP BY 1, 2""")
 def asof_vintage(v):
     dec = v.versions.select(F.date_add(F.trunc("observed_at", "quarter"), 30).alias("decision")).distinct()
-    known = A.known_at(v.versions, dec, ["key", "period"], "observed_at", "decision")
-    newest = F.max_by(F.struct("period", "value", "observed_at"), "period")
-    return known.groupBy("decision", "key").agg(newest.alias("n"), F.count(F.lit(1)).alias("known_periods")).select(
-        "decision", "key", "n.*", "known_periods")
+    known = A.known_state(v.versions, dec, "key", "period", "observed_at", "decision", "value")
+    return known.select("decision", "key", "newest.*", F.col("known").alias("known_periods"))
 
 
 @query("next_calendar_date", f"""WITH sh AS (SELECT session, ret AS shared_ret FROM v_vol WHERE instrument = 'A')

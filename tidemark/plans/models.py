@@ -11,6 +11,7 @@ from ..functions import prob
 from ..operators import bars as B
 from ..operators import classify as C
 from ..operators import evaluate as E
+from ..operators import gram as H
 from ..operators import macro as M
 from ..operators import metrics as X
 from ..operators import models as G
@@ -297,13 +298,7 @@ def feature_set_ablation(v):
     d, x = design(v)
     sets = {"all": x, "no_momentum": [c for c in x if not c.startswith("mom_")], "returns_only": ["ret_1", "ret_2"]}
     folds = E.fold_table(d, "instrument", "prediction_date", FIRST)
-    out = None
-    for name, cols in sets.items():
-        r = G.ridge_folds(d.dropna(subset=x), folds, "instrument", "prediction_date", "matures", cols, "future_return", "sigma", alpha=1e2)
-        part = r.groupBy("instrument", "fold").agg(F.lit(name).alias("candidate"), F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("future_return") - F.col("prediction"))).alias("mae"),
-                                                   F.avg(F.abs("future_return")).alias("zero_mae"))
-        out = part if out is None else out.unionByName(part)
-    return out.filter("n >= 8")
+    return rounded(H.feature_sets(d, folds, "instrument", "prediction_date", "matures", sets, "future_return", "sigma"), 9)
 
 
 Z41 = [NormalDist().inv_cdf((i + 0.5) / 41) for i in range(41)]
@@ -355,23 +350,41 @@ def model_comparison(v):
     return rounded(E.model_comparison(pnl, "instrument", "model", "target_date", "pnl", F.lit("1999-01-01").cast("date")))
 
 
-@query("nested_choice")
+_nested = """WITH r0 AS (SELECT instrument, session, open, ret, vol20, lag(vol20) OVER w AS lv, lag(close) OVER w AS lc FROM v_vol WINDOW w AS (PARTITION BY instrument ORDER BY session)),
+ cls AS (SELECT instrument, session AS d, CASE WHEN g < -b THEN 0 WHEN g > b THEN 2 ELSE 1 END AS bucket, CASE WHEN ret < -b THEN 0 WHEN ret > b THEN 2 ELSE 1 END AS y FROM (SELECT instrument, session, open / lc - 1 AS g, ret, 0.3 * lv AS b FROM r0) WHERE g IS NOT NULL AND ret IS NOT NULL AND b IS NOT NULL),
+ lk AS (SELECT instrument, max(d) AS last, CAST(max(d) - INTERVAL 12 MONTH AS DATE) + 1 AS lock FROM cls GROUP BY 1),
+ fo AS (SELECT instrument, printf('dev_%02d', row_number() OVER (PARTITION BY instrument ORDER BY t0)) AS fold, t0 FROM (SELECT instrument, lock, CAST(unnest(generate_series(TIMESTAMP '1997-01-01', CAST(lock AS TIMESTAMP), INTERVAL 6 MONTH)) AS DATE) AS t0 FROM lk) WHERE t0 < lock UNION ALL SELECT instrument, 'lock', lock FROM lk),
+ fc AS (SELECT *, CAST(t0 - INTERVAL 6 MONTH AS DATE) AS cut FROM fo),
+ tr AS (SELECT fc.*, d, bucket, y FROM fc JOIN cls USING (instrument) WHERE d < t0),
+ cand AS (SELECT unnest([2, 3, 5, 0]) AS w), hls AS (SELECT unnest([0, 126, 252, 504]) AS h),
+ cnt AS (SELECT instrument, fold, w, h, bucket, count(*) AS n, sum(CASE WHEN y = 0 THEN q ELSE 0 END) + 1 AS c0, sum(CASE WHEN y = 1 THEN q ELSE 0 END) + 1 AS c1, sum(CASE WHEN y = 2 THEN q ELSE 0 END) + 1 AS c2
+   FROM (SELECT *, CASE WHEN h = 0 THEN 1.0 ELSE pow(2.0::DOUBLE, -(cut - d) / h::DOUBLE) END AS q FROM tr CROSS JOIN cand CROSS JOIN hls WHERE d < cut AND (w = 0 OR d >= CAST(cut - to_months(CAST(12 * w AS INT)) AS DATE))) GROUP BY ALL),
+ own AS (SELECT instrument, fold, w, h, sum(n) AS n FROM cnt GROUP BY ALL),
+ inn AS (SELECT instrument, fold, bucket, y, count(*) AS k FROM tr WHERE d >= cut GROUP BY ALL),
+ ls AS (SELECT o.instrument, o.fold, o.w, o.h, o.n, sum(k * -ln(greatest(coalesce([c0, c1, c2][y + 1] / (c0 + c1 + c2), 1.0 / 3), 1e-7))) / sum(k) AS loss
+   FROM own o JOIN inn USING (instrument, fold) LEFT JOIN cnt c ON c.instrument = o.instrument AND c.fold = o.fold AND c.w = o.w AND c.h = o.h AND c.bucket = inn.bucket GROUP BY ALL),
+ bst AS (SELECT instrument, fold, first({'w': w, 'h': h, 'loss': round(loss, 12)} ORDER BY round(loss, 12), CASE w WHEN 0 THEN 9 ELSE w END, h) AS b FROM ls WHERE n >= 500 GROUP BY ALL),
+ sz AS (SELECT instrument, fold, count(*) AS n_train, count(*) FILTER (d >= cut) AS n_inner FROM tr GROUP BY ALL)
+ SELECT instrument, fold, n_train, n_inner, CASE WHEN u THEN b.w ELSE 5 END AS window_years, CASE WHEN u THEN b.h ELSE 0 END AS half_life, round(CASE WHEN u THEN b.loss END, 6) AS inner_loss
+ FROM (SELECT *, n_inner >= 20 AND n_train >= 500 AND b IS NOT NULL AS u FROM sz LEFT JOIN bst USING (instrument, fold))"""
+
+
+@query("nested_choice", _nested)
 def nested_choice(v):
     f = B.with_vol20(v.bars)
     band = 0.3 * B.lagged("vol20")
     rows = f.select("instrument", F.col("session").alias("prediction_date"), F.col("session").alias("matures"), B.class_of(B.ratio("open", B.lagged("close")) - 1, band).alias("bucket"),
                     B.class_of("ret", band).alias("y")).dropna()
     folds = E.fold_table(rows, "instrument", "prediction_date", FIRST)
-    return E.nested_choice(rows, folds, "instrument", "prediction_date", "matures", "bucket", "y")
+    return rounded(H.nested_choice(rows, folds, "instrument", "prediction_date", "matures", "bucket", "y"))
 
 
 @query("scheduled_refit")
 def scheduled_refit(v):
+    """Each instrument by itself, and all of them as one panel with a shared model."""
     d, x = design(v)
-    days = d.select("instrument", "prediction_date").withColumn("i", F.row_number().over(B.series("instrument", "prediction_date")))
-    marks = days.filter("i > 520 and (i - 521) % 21 = 0").withColumn("fold", F.format_string("refit_%04d", ((F.col("i") - 521) / 21).cast("int")))
-    nxt = F.lead("prediction_date").over(B.series("instrument", "prediction_date"))
-    cuts = marks.select("instrument", "fold", F.col("prediction_date").alias("t0"), F.coalesce(nxt, F.lit("2100-01-01").cast("date")).alias("t1"))
-    r = G.ridge_folds(d, cuts, "instrument", "prediction_date", "matures", x, "future_return", "sigma", alpha=1e2)
-    return r.select("instrument", "fold", "prediction_date", "n_train", "future_return", "prediction")
-
+    own = ["form", "instrument", "fold", "prediction_date", "alpha", "inner_blocks", "trained_at", "model_version", "n_train", "sigma", "future_return", "prediction"]
+    alone = H.scheduled_refits(d, E.fold_table(d, "instrument", "prediction_date", FIRST), "instrument", "prediction_date", "matures", x, "future_return", "sigma")
+    panel = d.withColumn("panel", F.lit("all"))
+    pooled = H.scheduled_refits(panel, E.fold_table(panel, "panel", "prediction_date", FIRST), "panel", "prediction_date", "matures", x, "future_return", "sigma")
+    return rounded(alone.withColumn("form", F.lit("own")).select(*own).unionByName(pooled.withColumn("form", F.lit("pooled")).select(*own)), 9)

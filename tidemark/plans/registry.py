@@ -23,7 +23,7 @@ def with_views(sql: str) -> str:
                 visit(body)
 
     visit(sql)
-    parts = [f"{n} AS ({SQL_VIEWS[n]})" for n in SQL_VIEWS if n in needed]
+    parts = [f"{n} AS MATERIALIZED ({SQL_VIEWS[n]})" for n in SQL_VIEWS if n in needed]
     if not parts:
         return sql.strip()
     body = sql.strip()

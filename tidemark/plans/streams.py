@@ -69,8 +69,7 @@ def late_correction(v):
     o = v.versions.withColumn("value", F.round("value", -5))
     kept = S.archive_versions(o, ["key", "period"], "observed_at", ["value"])
     dec = v.versions.select(F.date_add(F.trunc("observed_at", "quarter"), 45).alias("decision")).distinct()
-    return A.known_at(kept, dec, ["key", "period"], "observed_at", "decision").groupBy("decision", "key").agg(
-        F.count(F.lit(1)).alias("known"), F.sum("value").alias("total"))
+    return A.known_state(kept, dec, "key", "period", "observed_at", "decision", "value").select("decision", "key", "known", "total")
 
 
 @query("incremental_scoring", f"""WITH b AS (SELECT * FROM v_scored), o AS (SELECT record_id, CASE WHEN target_date < (SELECT CAST(now AS DATE) - 100 FROM v_now) THEN status ELSE 'pending' END AS old_status, target_date < (SELECT CAST(now AS DATE) - 100 FROM v_now) AND status = 'scored' AS old_ok FROM b),

@@ -350,9 +350,58 @@ def similar_periods(v):
     return rounded(M.similar_periods(M.longterm_frame(v.series2, v.series), list(_feats), "fwd_6m", 6))
 
 
-@query("phase_episodes")
+# Runs of a phase, folded like the operator does: each run is a list of one, and a list of episodes grows by it.
+_episodes = f"""{_long}, pr AS (SELECT series_id, phase, month, sum(new) OVER (PARTITION BY series_id ORDER BY month) AS run FROM (SELECT *, CASE WHEN phase <> lag(phase) OVER (PARTITION BY series_id ORDER BY month) THEN 1 ELSE 0 END AS new FROM lf WHERE phase IS NOT NULL)),
+ rn AS (SELECT series_id, run, any_value(phase) AS phase, min(month) AS s, max(month) AS e, count(*) AS m FROM pr GROUP BY ALL),
+ fd AS (SELECT series_id, list_reduce(list([{{'phase': phase, 's': s, 'e': e, 'm': m}}] ORDER BY run), lambda done, r: CASE WHEN done[len(done)].m < 3 OR r[1].m < 3 OR r[1].phase = done[len(done)].phase
+   THEN list_append(done[1:len(done) - 1], {{'phase': CASE WHEN done[len(done)].m < 3 THEN r[1].phase ELSE done[len(done)].phase END, 's': done[len(done)].s, 'e': r[1].e, 'm': done[len(done)].m + r[1].m}}) ELSE list_append(done, r[1]) END) AS es FROM rn GROUP BY 1),
+ ep AS MATERIALIZED (SELECT series_id, x.phase AS phase, x.s AS start, x.e AS "end", x.m AS months, i = n AS ongoing FROM (SELECT series_id, unnest(es) AS x, unnest(range(1, len(es) + 1)) AS i, len(es) AS n FROM fd)),
+ nw AS (SELECT series_id, phase, start AS since, "end" AS as_of, months AS age FROM ep WHERE ongoing), dn AS (SELECT * FROM ep WHERE NOT ongoing)"""
+
+
+def episodes_of(v):
+    f = M.longterm_frame(v.series2, v.series)
+    return f, M.phase_episodes(f)
+
+
+@query("phase_episodes", f"WITH {_episodes} SELECT * FROM ep")
 def phase_episodes(v):
-    return M.phase_episodes(M.longterm_frame(v.series2, v.series))
+    return episodes_of(v)[1]
+
+
+@query("remaining_life", f"""WITH {_episodes}, g AS (SELECT nw.*, count(d.months) AS n_past, count(*) FILTER (d.months > age) AS n_conditional, quantile_cont(d.months, 0.5) AS median_total,
+  quantile_cont(d.months - age, 0.5) FILTER (d.months > age) AS m, quantile_cont(d.months - age, 0.25) FILTER (d.months > age) AS a, quantile_cont(d.months - age, 0.75) FILTER (d.months > age) AS b FROM nw LEFT JOIN dn d ON d.series_id = nw.series_id AND d.phase = nw.phase GROUP BY ALL)
+ SELECT series_id, phase, since, as_of, age, n_past, n_conditional, n_past - n_conditional AS n_shorter, median_total, CASE WHEN n_conditional >= 1 THEN m END AS remaining_median, CASE WHEN n_conditional >= 1 THEN a END AS remaining_q25, CASE WHEN n_conditional >= 1 THEN b END AS remaining_q75,
+  CASE WHEN n_conditional >= 1 THEN CAST(as_of + to_months(CAST(round_even(m, 0) AS INT)) AS DATE) END AS expected_end FROM g""")
+def remaining_life(v):
+    """With one survivor enough, as the series here are short."""
+    return M.remaining_life(episodes_of(v)[1], least=1)
+
+
+_curve = """sv AS (SELECT phase, age, at_risk, ended, ended / at_risk::DOUBLE AS hazard, CASE WHEN at_risk = ended THEN 0.0 ELSE exp(sum(CASE WHEN at_risk = ended THEN 0 ELSE ln(1 - ended / at_risk::DOUBLE) END) OVER (PARTITION BY phase ORDER BY age)) END AS survival
+ FROM (SELECT phase, months AS age, count(*) FILTER (NOT ongoing) AS ended, (SELECT count(*) FROM ep o WHERE o.phase = ep.phase AND o.months >= ep.months) AS at_risk FROM ep GROUP BY phase, months) WHERE ended > 0)"""
+
+
+@query("phase_survival", f"WITH {_episodes}, {_curve} SELECT phase, age, at_risk, ended, {rd('hazard survival')} FROM sv")
+def phase_survival(v):
+    """All series of a phase together."""
+    return rounded(M.phase_survival(episodes_of(v)[1], "phase"))
+
+
+@query("conditional_life", f"""WITH {_episodes.replace('ep AS MATERIALIZED', 'ep0 AS MATERIALIZED').replace('nw AS (SELECT', "ep AS (SELECT series_id || ':' || phase AS phase, start, months, ongoing FROM ep0), nw AS (SELECT").replace('FROM ep WHERE ongoing', 'FROM ep0 WHERE ongoing').replace('SELECT * FROM ep WHERE NOT', 'SELECT * FROM ep0 WHERE NOT')}, {_curve}
+ SELECT nw.series_id, nw.phase, nw.age AS months_so_far, sv.age - nw.age AS more_months, at_risk, ended, round(survival / coalesce((SELECT min(survival) FROM sv o WHERE o.phase = nw.series_id || ':' || nw.phase AND o.age <= nw.age), 1.0), 6) + 0.0::DOUBLE AS still_on
+ FROM nw JOIN sv ON sv.phase = nw.series_id || ':' || nw.phase AND sv.age > nw.age""")
+def conditional_life(v):
+    return rounded(M.conditional_life(episodes_of(v)[1]))
+
+
+@query("life_by_sign", f"""WITH {_episodes}, j AS (SELECT nw.series_id, nw.phase, nw.age, d.months - nw.age AS rest, lf.exports_accel <= 0 AS inverted FROM nw JOIN dn d ON d.series_id = nw.series_id AND d.phase = nw.phase AND d.months > nw.age
+   JOIN lf ON lf.series_id = nw.series_id AND lf.month = CAST(d.start + to_months(CAST(nw.age - 1 AS INT)) AS DATE) WHERE lf.exports_accel IS NOT NULL)
+ SELECT j.series_id, j.phase, j.age, count(*) FILTER (inverted) AS n_inverted, quantile_cont(rest, 0.5) FILTER (inverted) AS inverted_median, count(*) FILTER (NOT inverted) AS n_normal, quantile_cont(rest, 0.5) FILTER (NOT inverted) AS normal_median, any_value(l.exports_accel <= 0) AS now_inverted
+ FROM j JOIN nw USING (series_id) LEFT JOIN lf l ON l.series_id = j.series_id AND l.month = nw.as_of GROUP BY j.series_id, j.phase, j.age""")
+def life_by_sign(v):
+    f, e = episodes_of(v)
+    return M.life_by_sign(e, f, "exports_accel")
 
 
 @query("event_detection", f"""WITH b AS (SELECT *, row_number() OVER w AS i, coalesce(close / lag(close) OVER w - 1, 0.0) AS ret FROM v_intraday WINDOW w AS (PARTITION BY instrument, session ORDER BY ts)),
