@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +80,72 @@ def choose(train: DataFrame, date: str, cs=(0.003, 0.01, 0.03), weights=(False,
     return best
 
 
+@dataclass
+class Boosted:
+    """Three one-vs-rest boosters and the multinomial model that turns their margins into probabilities."""
+
+    models: list
+    calibrator: object
+    trees: list[int]
+    inner_loss: float
+
+    def probabilities(self, rows_: DataFrame) -> DataFrame:
+        return probabilities(self.calibrator, margins(self.models, rows_))
+
+
+def _booster(k: int, trees: int, depth: int, step: float, seed: int, watched: bool) -> GBTClassifier:
+    more = {"validationIndicatorCol": "_val", "validationTol": 0.0} if watched else {}
+    return GBTClassifier(labelCol="_y", maxIter=trees, maxDepth=depth, stepSize=step, maxBins=32, minInstancesPerNode=20, seed=seed + k, checkpointInterval=-1, **more)
+
+
+def margins(models, rows_: DataFrame) -> DataFrame:
+    """``features`` replaced by the three raw margins of the one-vs-rest models."""
+    out = rows_
+    for k, m in enumerate(models):
+        out = m.setRawPredictionCol(f"_r{k}").setProbabilityCol(f"_q{k}").setPredictionCol(f"_g{k}").transform(out)
+    raw = F.array(*[F.get(vector_to_array(f"_r{k}"), F.lit(1)) for k in range(len(models))])
+    return out.withColumn("features", array_to_vector(raw)).drop(*[f"{c}{k}" for c in ("_r", "_q", "_g") for k in range(len(models))])
+
+
+def _calibrator(held: DataFrame):
+    """Multinomial regression on the margins; a light penalty keeps it finite where a class is told apart perfectly."""
+    return LogisticRegression(family="multinomial", regParam=1e-3, maxIter=50, tol=1e-6).fit(held)
+
+
+def fit_boosted(train: DataFrame, date: str, splits: int = 2, block: int = 126, trees: int = 12, depth: int = 4, step: float = 0.3, seed: int = 42, threads: int = 6) -> Boosted:
+    """Boosted trees for three classes, with what only past blocks can tell.
+
+    Each class has a binary booster against the rest, which stops where the loss on the inner block of dates after its rows
+    no longer falls. The margins of the three on their blocks are held out, and one multinomial model on them calibrates
+    all classes together, so probabilities sum to one. ``inner_loss`` is the mean log loss over the blocks, each judged by a
+    calibrator of the others. The boosters are then fitted on all rows with the mean number of trees. The fits of a round do
+    not depend on each other and share the cluster.
+    """
+    parts = cut_lineage(date_blocks(train, date, splits, block).withColumn("_val", F.col("side") == "validate"))
+    one = lambda frame, k: frame.withColumn("_y", (F.col("label") == k).cast("double"))
+    tasks = [(s, k) for s in range(1, splits + 1) for k in range(3)]
+    with ThreadPoolExecutor(threads) as pool:
+        fitted = dict(zip(tasks, pool.map(lambda t: _booster(t[1], trees, depth, step, seed, True).fit(one(parts.filter(F.col("split") == t[0]), t[1])), tasks)))
+        held = None
+        for s in range(1, splits + 1):
+            own = margins([fitted[s, k] for k in range(3)], parts.filter((F.col("split") == s) & F.col("_val"))).select("split", "label", "features")
+            held = own if held is None else held.unionByName(own)
+        held = cut_lineage(held)
+        counts = [max(1, round(sum(fitted[s, k].getNumTrees for s in range(1, splits + 1)) / splits)) for k in range(3)]
+        whole = list(pool.map(lambda k: _booster(k, counts[k], depth, step, seed, False).fit(one(train, k)), range(3)))
+        inner = list(pool.map(lambda s: losses(probabilities(_calibrator(held.filter(F.col("split") != s)), held.filter(F.col("split") == s)))[1.0][0], range(1, splits + 1)))
+    return Boosted(whole, _calibrator(held), counts, sum(inner) / len(inner))
+
+
+def forest_inner_loss(train: DataFrame, date: str, splits: int = 2, block: int = 126) -> float:
+    """Mean log loss of the forest over the same inner blocks."""
+    parts = cut_lineage(date_blocks(train, date, splits, block))
+    side = lambda s, name: parts.filter((F.col("split") == s) & (F.col("side") == name)).drop("split", "side")
+    with ThreadPoolExecutor(splits) as pool:
+        found = list(pool.map(lambda s: losses(probabilities(fit(side(s, "train"), "forest"), side(s, "validate")))[1.0][0], range(1, splits + 1)))
+    return sum(found) / len(found)
+
+
 def walk_forward(rows_: DataFrame, spans: list[tuple[str, str]], date: str, matures: str, family: str = "linear", c: float = 0.01, years: int | None = None) -> DataFrame:
     """Out-of-fold probabilities beside the training prior, one fit per test span."""
     out = None

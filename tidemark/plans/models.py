@@ -192,8 +192,10 @@ def direction_classifier(v):
     best = C.choose(train, "prediction_date")
     linear = C.probabilities(C.fit(train, "linear", best["c"], best["balanced"]), test)
     soft = prob_columns(linear, best["temperature"])
-    forest = C.probabilities(C.fit(train, "forest"), test).select("instrument", "prediction_date", *[F.col(n).alias(f"forest_{n}") for n in ("p_down", "p_flat", "p_up")])
-    return soft.join(forest, ["instrument", "prediction_date"]).withColumn("c", F.lit(best["c"])).withColumn("temperature", F.lit(best["temperature"]))
+    boosted = C.fit_boosted(train, "prediction_date")
+    raised = boosted.probabilities(test).select("instrument", "prediction_date", *[F.col(n).alias(f"boosted_{n}") for n in prob.P3])
+    return soft.join(raised, ["instrument", "prediction_date"]).withColumns({
+        "c": F.lit(best["c"]), "temperature": F.lit(best["temperature"]), "inner_loss": F.lit(best["inner_loss"]), "boosted_inner_loss": F.lit(boosted.inner_loss)})
 
 
 def prob_columns(df, temperature):
