@@ -6,7 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import quotes as U
 from tidemark.operators import sets as S
+from tidemark.operators import settle as Z
 from tidemark.operators import traffic as T
 from tidemark.streaming import hits as H
 from tidemark.streaming import marts as M
@@ -102,3 +104,77 @@ def test_robots_origins_and_late_attribution(spark):
     assert sorted(r.event_id for r in own.collect()) == [1, 2, 3, 6]
     got = {r.event_id: (r.source, r.attributed_by) for r in T.attributed_visits(own).collect()}
     assert got == {1: ("email", 2), 3: ("", None), 6: ("", None)}
+
+
+def arrivals(rows, seed, most=580):
+    """The rows in the order they arrive when each is late by up to ``most`` seconds."""
+    rng = random.Random(seed)
+    return sorted(rows, key=lambda r: (r[1] + dt.timedelta(seconds=rng.randint(0, most)), r[0]))
+
+
+@pytest.mark.parametrize("seed,parts", [(1, 4), (2, 9)])
+def test_late_hits_are_counted_in_order(spark, rows, tmp_path, seed, parts):
+    """Hits shuffled within the bound give what the batch gives; the one processed in arrival order does not."""
+    flush = (10**6, T0 + dt.timedelta(days=3), "flush", "z", "Mozilla", "web")
+    late = [*arrivals(rows, seed), flush]
+    assert [r[0] for r in late] != sorted(r[0] for r in late)
+    counted = H.count_visits_in_order(stream(spark, late, str(tmp_path), parts))
+    M.drain(counted, lambda df, n: M.write_batch(df, str(tmp_path / "out"), n), str(tmp_path / "cp"))
+    got = sorted((r.event_id, r.ts) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.event_id < 10**6)
+    want = {r[0]: r[1] for r in rows}
+    assert [i for i, _ in got] == greedy(rows) and all(at == want[i] for i, at in got)
+
+
+def observations():
+    at = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    return [("a", at(1), "provisional", 10.0), ("a", at(5), "provisional", 12.0), ("a", at(9), "confirmed", 11.0), ("a", at(12), "confirmed", 99.0), ("a", at(20), "provisional", 50.0),
+            ("b", at(2), "provisional", 7.0), ("b", at(3), "provisional", 7.0 * (1 + 1e-14)), ("b", at(8), "provisional", 8.0), ("c", at(4), "confirmed", 5.0), ("c", at(4), "provisional", 5.0),
+            ("d", at(6), "provisional", None), ("e", at(7), "provisional", 3.0), ("e", at(30), "confirmed", 3.0)]
+
+
+def test_states_of_actual_values(spark):
+    at = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    df = spark.createDataFrame(observations(), "key string, observed_at date, kind string, value double")
+    points = spark.createDataFrame([(k, 10.0) for k in "abcdef"], "key string, point double")
+    show = lambda f: {r.key: (r.state, r.actual, r.updated_at, r.changes) for r in f.collect()}
+    assert show(Z.settled(points, df, "key")) == {
+        "a": ("final", 11.0, at(9), 2), "b": ("provisional", 8.0, at(8), 1), "c": ("final", 5.0, at(4), 0), "d": ("pending", None, None, 0), "e": ("final", 3.0, at(7), 0), "f": ("pending", None, None, 0)}
+    assert show(Z.settled(points, df, "key", by_time=F.lit(at(6)))) == {
+        "a": ("provisional", 12.0, at(5), 1), "b": ("provisional", 7.0, at(2), 0), "c": ("final", 5.0, at(4), 0), "d": ("pending", None, None, 0), "e": ("pending", None, None, 0), "f": ("pending", None, None, 0)}
+    r = Z.settled(points, df, "key").filter("key = 'a'").first()
+    assert r.error == -1.0 and r.ape == pytest.approx(1 / 11)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_replayed_and_reordered_batches_settle_alike(spark, tmp_path, seed):
+    schema = "key string, observed_at date, kind string, value double"
+    rows = observations()
+    points = spark.createDataFrame([(k, 10.0) for k in "abcdef"], "key string, point double")
+    want = sorted(map(tuple, Z.settled(points, spark.createDataFrame(rows, schema), "key").collect()), key=str)
+    rng = random.Random(seed)
+    mixed = [*rows, *rng.sample(rows, 4)]
+    rng.shuffle(mixed)
+    each = M.observations_sink(str(tmp_path / "m"), "key")
+    batches = [mixed[k::4] for k in range(4)]
+    for n in (2, 0, 3, 1, 0, 2):  # out of order, two of them again
+        each(spark.createDataFrame(batches[n], schema), n)
+    assert sorted(map(tuple, M.settled_forecasts(spark, str(tmp_path / "m"), points, "key").collect()), key=str) == want
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_quote_stream_equals_batch_in_any_order(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    rows = [(rng.choice("xy"), at(60 * rng.randint(0, 9)), rng.choice("ab"), float(rng.choice([-1, 0, 5, 5, 6])), at(rng.randint(0, 900))) for _ in range(200)]
+    schema = "instrument string, ts timestamp_ntz, source string, price double, arrived timestamp_ntz"
+    want = sorted(map(tuple, U.first_seen(spark.createDataFrame(rows, schema)).collect()))
+    rng.shuffle(rows)
+    for k in range(5):
+        spark.createDataFrame(rows[k::5], schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    quotes = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    each = M.quotes_sink(str(tmp_path / "q"))
+    M.drain(quotes, each, str(tmp_path / "cp"))
+    each(spark.createDataFrame(rows[2::5], schema), 99)  # a part that comes again under another number
+    first, conflicts = M.intake(spark, str(tmp_path / "q"))
+    assert sorted(map(tuple, first.collect())) == want
+    assert {(r.instrument, r.ts, r.source) for r in conflicts.collect()} == {w[:3] for w in want if w[5]} and any(w[5] for w in want)

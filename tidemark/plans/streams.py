@@ -9,6 +9,7 @@ from ..operators import ledger as L
 from ..operators import outlook as O
 from ..operators import quotes as U
 from ..operators import sets as S
+from ..operators import settle as Z
 from ..functions.web import BOTS
 from ..operators import traffic as T
 from .bindings import sql_unit, unit
@@ -89,6 +90,37 @@ def incremental_scoring(v):
     return rounded(L.rescore(old, fresh, v.now).select("record_id", "status", "log_loss"))
 
 
+def observed_totals(v):
+    """Monthly totals as they become known: two provisional estimates from a part of the customers, the confirmed total, and a
+    later revision that comes too late."""
+    o = v.orders.select(F.col("o_orderpriority").alias("series_id"), F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("month"), "o_custkey", "o_totalprice")
+    part = lambda n: F.sum(F.when(F.col("o_custkey") % n == 0, F.col("o_totalprice"))) * n
+    g = o.groupBy("series_id", "month").agg(F.round(F.sum("o_totalprice"), 2).alias("whole"), F.round(part(3), 2).alias("third"), F.round(part(2), 2).alias("half"))
+    seen = lambda days, kind, value: F.struct(F.date_add(F.add_months("month", 1), days).alias("observed_at"), F.lit(kind).alias("kind"), value.alias("value"))
+    rows = F.array(seen(1, "provisional", F.col("third")), seen(10, "provisional", F.col("half")), seen(12, "provisional", F.col("half")), seen(40, "confirmed", F.col("whole")),
+                   seen(55, "provisional", F.col("third")), seen(90, "confirmed", F.col("whole") + 1))
+    return g.select("series_id", "month", F.explode(rows).alias("e")).select("series_id", "month", "e.*")
+
+
+@query("confirmed_scoring", """WITH g AS (SELECT o_orderpriority AS series_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, round(sum(o_totalprice), 2) AS whole, round(sum(o_totalprice) FILTER (o_custkey % 3 = 0) * 3, 2) AS third,
+   round(sum(o_totalprice) FILTER (o_custkey % 2 = 0) * 2, 2) AS half FROM orders GROUP BY ALL),
+ t AS (SELECT CAST(max(month) + INTERVAL 2 MONTH AS DATE) AS now FROM g), e AS (SELECT *, CAST(month + INTERVAL 1 MONTH AS DATE) AS e FROM g),
+ f AS (SELECT series_id, CAST(month + INTERVAL 1 MONTH AS DATE) AS month, value AS point FROM v_series WHERE month < (SELECT max(month) FROM v_series) UNION ALL SELECT DISTINCT series_id, (SELECT CAST(max(month) + INTERVAL 1 MONTH AS DATE) FROM v_series), 1.0::DOUBLE FROM v_series),
+ k AS (SELECT e.*, e + 40 <= now AS closed, CASE WHEN third IS NOT NULL AND e + 1 <= now THEN 1 ELSE 0 END AS has3, CASE WHEN half IS NOT NULL AND e + 10 <= now THEN 1 ELSE 0 END AS has2 FROM e, t),
+ s AS (SELECT series_id, month, CASE WHEN closed THEN 'final' ELSE 'provisional' END AS state, CASE WHEN closed THEN whole WHEN has2 = 1 THEN half ELSE third END AS actual,
+   CASE WHEN closed THEN e + 40 WHEN has2 = 1 THEN e + 10 ELSE e + 1 END AS updated_at, CASE WHEN has3 = 1 THEN e + 1 WHEN has2 = 1 THEN e + 10 ELSE e + 40 END AS first_seen, has3 + has2 + CAST(closed AS INT) - 1 AS changes FROM k WHERE has3 + has2 > 0 OR closed)
+ SELECT f.series_id, f.month, coalesce(state, 'pending') AS state, round(actual, 2) AS actual, first_seen, updated_at, coalesce(changes, 0)::BIGINT AS changes, round(point - actual, 2) AS error, round(abs(point - actual) / abs(actual), 6) AS ape FROM f LEFT JOIN s USING (series_id, month)""")
+def confirmed_scoring(v):
+    """Last month's total as the forecast of the next, two months after the newest month."""
+    seen = observed_totals(v)
+    now = v.series.agg(F.add_months(F.max("month"), 2)).scalar()
+    newest = v.series.agg(F.add_months(F.max("month"), 1)).scalar()
+    points = v.series.select("series_id", F.add_months("month", 1).alias("month"), F.col("value").alias("point")).filter(F.col("month") < newest)
+    points = points.unionByName(v.series.select("series_id").distinct().select("series_id", newest.alias("month"), F.lit(1.0).alias("point")))
+    out = Z.settled(points, seen, ["series_id", "month"], by_time=now)
+    return out.select("series_id", "month", "state", F.round("actual", 2).alias("actual"), "first_seen", "updated_at", "changes", F.round("error", 2).alias("error"), F.round("ape", 6).alias("ape"))
+
+
 @query("post_open_update", f"""WITH {_grid_sql}, n AS (SELECT max(session) - 30 AS today FROM v_cal), g AS (SELECT instrument, target_date, open, pc, {sql_unit("instrument||target_date||'po'")} AS u FROM (SELECT instrument, session AS target_date, open, lag(close) OVER (PARTITION BY instrument ORDER BY session) AS pc FROM v_bars)),
  w AS (SELECT *, CASE WHEN u < 0.1 THEN 'already_there' WHEN u > 0.9 THEN 'no_grid' WHEN u BETWEEN 0.5 AND 0.52 THEN 'no_open' WHEN pc IS NULL THEN 'no_previous_close' WHEN (SELECT today FROM n) > target_date THEN 'late' ELSE '' END AS skipped FROM g)
  SELECT w.instrument, w.target_date, skipped, round(CASE WHEN skipped = '' THEN open / pc - 1 END, 6) AS gap, CASE WHEN skipped = '' THEN clamped END AS clamped, {', '.join(f"round(CASE WHEN skipped = '' THEN {c} / (p_down + p_flat + p_up) END, 6) AS {c}" for c in ('p_down', 'p_flat', 'p_up'))} FROM w LEFT JOIN ip USING (instrument, target_date)""")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ledger as L
+from ..operators import quotes as Q
+from ..operators import settle as T
 from ..operators.sets import archive_versions
 
 
@@ -88,3 +90,30 @@ def scores_sink(path: str, ledger: DataFrame, bars: Callable[[], DataFrame], now
             due = due.join(graded, "record_id", "left_anti")
         write_batch(L.score_forecasts(due, landed, at).filter("status = 'scored'"), path, batch)
     return each
+
+
+def observations_sink(path: str, key) -> Callable[[DataFrame, int], None]:
+    """Observations of actual values as a versioned mart: a batch owns its partition, nothing is overwritten or merged."""
+    key = [key] if isinstance(key, str) else list(key)
+
+    def each(rows: DataFrame, batch: int) -> None:
+        write_batch(rows.select(*key, "observed_at", "kind", "value").distinct(), path, batch)
+    return each
+
+
+def settled_forecasts(spark: SparkSession, path: str, forecasts: DataFrame, key, point: str = "point", by_time=None) -> DataFrame:
+    """Forecasts against all batches of the mart; batches that came twice or in another order give the same rows."""
+    return T.settled(forecasts, spark.read.parquet(path).drop("batch"), key, point, by_time)
+
+
+def quotes_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """Per batch and quote the earliest arrival and the range of its values: what can be merged in any order."""
+    def each(rows: DataFrame, batch: int) -> None:
+        write_batch(Q.partial_quotes(rows), path, batch)
+    return each
+
+
+def intake(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The first value of every quote over all batches, and beside it the quotes that a later arrival contradicted."""
+    merged = Q.merged_quotes(spark.read.parquet(path).drop("batch"))
+    return merged.drop("low", "high"), merged.filter("conflict").select("instrument", "ts", "source", "price", "low", "high")
