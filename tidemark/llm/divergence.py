@@ -15,7 +15,7 @@ from .decontaminate import slices
 
 MIN_DOCUMENTS, SMOOTH, UNIT, TOP = 30, 5, 1_000_000_000, 50
 #: A task's term counts go on when they hold so many entries.
-HELD_TERMS = 150_000
+HELD_TERMS = 300_000
 #: Nonzero counts and terms of one chunk of vocabulary.
 CHUNK_CELLS, CHUNK_TERMS = 1 << 17, 1 << 16
 SALTS = 32
@@ -175,7 +175,8 @@ def pair_divergence(terms: DataFrame, groups: DataFrame, salts: int = SALTS) ->
     langs = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("sources"), F.first("v").alias("v"))
     copies = langs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     shape = "lang string, first string, terms long, runs array<struct<source:string,counts:array<long>,lengths:array<long>>>"
-    order = ["lang", "total", "per", "term"]
+    # Short keys, as the driver samples them; equal columns of counts have equal hashes.
+    order = ["lang", "total", F.xxhash64("per"), "term"]
     chunks = terms.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_encode, shape)
     empty = langs.select("lang", F.lit("").alias("first"), F.lit(0).cast("long").alias("terms"), F.array().cast(shape.split("runs ")[1]).alias("runs"))
     salted = chunks.unionByName(empty).withColumn("salt", F.pmod(F.xxhash64("first"), F.lit(salts)).cast("int"))
