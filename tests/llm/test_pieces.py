@@ -50,7 +50,7 @@ def test_many_at_once_equals_one_by_one(lattice):
     fresh = pieces.PieceLattice()
     fresh._store_plain(units)
     for u in units:
-        first, last = fresh.at[u]
+        first, last = fresh.low[fresh.at[u]], fresh.high[fresh.at[u]]
         made = lattice.lattice(u)
         assert last - first + 1 == len(made)
         for k, incoming in enumerate(made):
@@ -88,9 +88,39 @@ def test_empty_table(spark):
 
 
 def test_store_starts_afresh(monkeypatch, lattice):
-    monkeypatch.setattr(pieces, "MAX_EDGES", 10)
+    monkeypatch.setattr(pieces, "STORE_BYTES", 10)
     small = pieces.PieceLattice()
     for text in ("some words here", "other words there", "some words here"):
         a, _ = small.sample([text], [3])
         b, _ = lattice.sample([text], [3])
         assert a.tolist() == b.tolist()
+
+
+def test_spans_of_units_do_not_show(monkeypatch, lattice):
+    """A text longer than a span of units gives the ids it would give at once, whatever the store forgets in between."""
+    texts = ["one two three four five six seven " * 30, "", "ouieaux 😀 ▁ x" * 20]
+    want, counts = lattice.sample(texts, [1, 2, 3])
+    monkeypatch.setattr(pieces, "SPAN_UNITS", 7)
+    monkeypatch.setattr(pieces, "STORE_BYTES", 2000)
+    small = pieces.PieceLattice()
+    got, own = small.sample(texts, [1, 2, 3])
+    assert got.tolist() == want.tolist() and own.tolist() == counts.tolist()
+
+
+def test_store_keeps_its_bound(monkeypatch):
+    """Ever new words: what is held never passes the bound by more than one span of units."""
+    monkeypatch.setattr(pieces, "STORE_BYTES", 1 << 20)
+    monkeypatch.setattr(pieces, "SPAN_UNITS", 500)
+    small, most = pieces.PieceLattice(), 0
+    for i in range(40):
+        small.sample([" ".join(f"word{i}x{k}" for k in range(1000))], [i])
+        arrays = sum(getattr(small, c).nbytes for c in ("low", "high", "first", "share", "token", "back"))
+        most = max(most, arrays + pieces.UNIT_BYTES * len(small.at))
+    assert small.held < (1 << 20) + (1 << 19) and most < 3 << 20
+
+
+def test_round_trips_with_ids(spark):
+    frame = documents(spark, awkward())
+    rows = pieces.round_trips(frame, with_ids=True).collect()
+    ids = Counter((r.doc_id, tuple(r.ids)) for r in pieces.encode(frame).collect())
+    assert Counter((r.doc_id, tuple(r.ids)) for r in rows) == ids and all(r.n_pieces == len(r.ids) for r in rows)

@@ -19,8 +19,12 @@ from .decontaminate import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: 0: all segmentations alike; 1: as likely as the product of their pieces; large: the best one.
 ALPHA = 0.5
-#: A worker keeps at most so many lattice edges (about 12 bytes each) before it starts afresh.
-MAX_EDGES = 6_000_000
+#: A worker's store holds at most so many bytes before it starts afresh; what counts is named in ``PieceLattice.held``.
+STORE_BYTES = 64 << 20
+#: Bytes of a stored unit besides its edges: its string, its place in the dictionary and its number.
+UNIT_BYTES = 220
+#: Units that are looked up, stored and sampled at once.
+SPAN_UNITS = 1 << 15
 #: Units up to this length are filtered many at once.
 PLAIN = 40
 SLICE_BYTES = 1 << 20
@@ -90,13 +94,18 @@ class PieceLattice:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, tuple[int, int]] = {}
-        self.first = np.zeros(1 << 16, np.int64)
-        self.share = np.zeros(1 << 16, np.float32)
-        self.token = np.zeros(1 << 16, np.int32)
-        self.back = np.zeros(1 << 16, np.int32)
+        """An empty store: unit to number, by number its nodes, by node its first edge, and the edges."""
+        self.at: dict[str, int] = {}
+        self.low, self.high = np.empty(0, np.int32), np.empty(0, np.int32)
+        self.first = np.empty(0, np.int32)
+        self.share, self.token, self.back = np.empty(0, np.float32), np.empty(0, np.int32), np.empty(0, np.int16)
         self.nodes = self.edges = 0
 
+    @property
+    def held(self) -> int:
+        """Bytes of the store: 10 an edge, 4 a node, 8 and UNIT_BYTES a unit."""
+        return 10 * self.edges + 4 * self.nodes + (8 + UNIT_BYTES) * len(self.at)
+
     def lattice(self, unit: str) -> list[list[tuple[float, int, int]]]:
         """Per node its incoming edges (running share up to 1, piece, nodes to go back); byte chains add inner nodes."""
         n, find, longest = len(unit), self.vocabulary.get, self.longest
@@ -128,16 +137,23 @@ class PieceLattice:
             out.append(edges)
         return out
 
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        array = getattr(self, name)
+        if at + len(values) > len(array):
+            wider = np.empty((at + len(values)) * 5 // 4 + 1024, array.dtype)
+            wider[:at] = array[:at]
+            array = wider
+            setattr(self, name, array)
+        array[at:at + len(values)] = values
+
     def _append(self, units: list[str], nodes: np.ndarray, first: np.ndarray, share: np.ndarray, token: np.ndarray, back: np.ndarray) -> None:
         """Add lattices to the store: node counts of the units, first edge of each node, and the edges by node."""
         ends = self.nodes + np.cumsum(nodes)
-        self.at.update(zip(units, zip((ends - nodes).tolist(), (ends - 1).tolist())))
-        for name, values, at in (("first", first + self.edges, self.nodes), ("share", share, self.edges), ("token", token, self.edges), ("back", back, self.edges)):
-            array = getattr(self, name)
-            if at + len(values) > len(array):
-                array = np.concatenate([array, np.zeros(at + len(values), array.dtype)])
-                setattr(self, name, array)
-            array[at:at + len(values)] = values
+        own = len(self.at)
+        self.at.update(zip(units, range(own, own + len(units))))
+        for name, values, at in (("low", ends - nodes, own), ("high", ends - 1, own), ("first", first + self.edges, self.nodes),
+                                 ("share", share, self.edges), ("token", token, self.edges), ("back", back, self.edges)):
+            self._put(name, at, values)
         self.nodes += len(first)
         self.edges += len(share)
 
@@ -201,19 +217,27 @@ class PieceLattice:
         self._append(units, sizes + 1, first, share, token, length)
 
     def sample(self, texts: list[str], seeds: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids of all texts one after another, and the count of each text."""
-        if self.edges > MAX_EDGES:
-            self.clear()
+        """Piece ids of all texts one after another, and the count of each text; SPAN_UNITS units at a time, so that the
+        store's bound holds in a text of any length."""
         split = [_UNIT.findall(" " + t) if t else [] for t in texts]
         units = [u for s in split for u in s]
         counts = np.array([len(s) for s in split], np.int64)
         if not units:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        self._store([u for u in dict.fromkeys(units) if u not in self.at])
-        places = np.array(list(map(self.at.__getitem__, units)), np.int64)
-        start, node = places[:, 0], places[:, 1].copy()
         row = np.repeat(np.array(seeds, np.uint64), counts)
         number = np.arange(len(units)) - np.repeat(np.cumsum(counts) - counts, counts)
+        done = [self._sample_span(units[a:a + SPAN_UNITS], row[a:a + SPAN_UNITS], number[a:a + SPAN_UNITS]) for a in range(0, len(units), SPAN_UNITS)]
+        size = np.concatenate([n for _, n in done])
+        per_text = np.add.reduceat(np.append(size, 0), np.minimum(np.cumsum(counts) - counts, len(size))) * (counts > 0)
+        return np.concatenate([ids for ids, _ in done]), per_text
+
+    def _sample_span(self, units: list[str], row: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of all units and the count of each; ``row`` and ``number`` decide the draws."""
+        if self.held > STORE_BYTES:
+            self.clear()
+        self._store([u for u in dict.fromkeys(units) if u not in self.at])
+        own = np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))
+        start, node = self.low[own].astype(np.int64), self.high[own].astype(np.int64)
         live, steps = np.arange(len(units)), []
         while len(live):
             here = node[live]
@@ -233,8 +257,7 @@ class PieceLattice:
         ids = np.empty(end[-1], np.int32)
         for k, (live, tokens) in enumerate(steps):
             ids[end[live] - 1 - k] = tokens
-        per_text = np.add.reduceat(np.append(size, 0), np.minimum(np.cumsum(counts) - counts, len(size))) * (counts > 0)
-        return ids, per_text
+        return ids, size
 
     def decode(self, ids: list[int]) -> bytes:
         """The text's bytes: the pieces' surfaces without the blank put before the first."""
@@ -291,10 +314,13 @@ def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", model: str
     return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("text", T.StringType())]))
 
 
-def round_trips(documents: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, alpha: float = ALPHA, seed: int = 42) -> DataFrame:
+def round_trips(documents: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, alpha: float = ALPHA, seed: int = 42,
+                with_ids: bool = False) -> DataFrame:
     """``key``, n_pieces, SHA-256 of the ids (little-endian 32 bits each), SHA-256 of the decoded bytes, and whether they
-    are the text's; ids are made as in ``encode`` and read as in ``decode`` within one pass."""
+    are the text's; ids are made as in ``encode`` and read as in ``decode`` within one pass. ``with_ids`` adds the ``ids``."""
     rows = documents.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{text}`"))
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
+    names = [key, "n_pieces", "ids_sha256", "decoded_sha256", "lossless", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattice_of(model, alpha)
@@ -305,7 +331,9 @@ def round_trips(documents: DataFrame, key: str = "doc_id", text: str = "text", m
                 at += n
                 back = lattice.decode(own.tolist())
                 out.append((k, n, hashlib.sha256(own.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), back == t))
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()))],
-                                             names=[key, "n_pieces", "ids_sha256", "decoded_sha256", "lossless"])
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*out), kinds)]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(ids)))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, f"`{key}` long, n_pieces long, ids_sha256 string, decoded_sha256 string, lossless boolean")
+    return rows.mapInArrow(run, f"`{key}` long, n_pieces long, ids_sha256 string, decoded_sha256 string, lossless boolean" + ", ids array<int>" * with_ids)
