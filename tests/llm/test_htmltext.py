@@ -51,8 +51,9 @@ def test_no_teacher_and_empty(spark):
 
 
 @pytest.mark.parametrize("source,tags", [
-    ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", ["html", "ul", "li", "li", "ul", "li", "li"]),
-    ("<p>a<p>b</div><div>c", ["html", "p", "p", "div"]), ("<table><tr><td>a<td>b<tr><td>c</table>x", ["html", "table", "tr", "td", "td", "tr", "td"])])
+    ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", ["html", "body", "ul", "li", "li", "ul", "li", "li"]),
+    ("<p>a<p>b</div><div>c", ["html", "body", "p", "p", "div"]), ("<table><tr><td>a<td>b<tr><td>c</table>x", ["html", "body", "table", "tr", "td", "td", "tr", "td", "#run"]),
+    ("<html><body>\n<p>a</p> \n bare <b>bold</b><br>more<div>b</div>tail</body></html>", ["html", "body", "p", "#run", "div", "#run"])])
 def test_implied_ends(source, tags):
     assert htmltext.Page(source).tag == tags
 
@@ -86,9 +87,75 @@ def test_quoted_values_of_any_length():
         for q, other in ("\"'", "'\""):
             value = "x" * size + f"<b>leak</b> <p class={other}y{other}>leaked text</p>"
             page = htmltext.Page(f"<article><div data-json = {q}{value}{q} class='post'>seen</div></article>")
-            assert [t for n, t, _ in page.segments if n >= 0] == ["seen"] and page.tag == ["html", "article", "div"]
+            assert [t for n, t, _ in page.segments if n >= 0] == ["seen"] and page.tag == ["html", "body", "article", "div"]
     # A stray quote opens nothing, and neither does one that nothing closes.
     far = "w " * 10_000
     assert shown(f'<p title="5"">{far}</p><p id="z">b</p>') == [far, "b"]
     assert shown(f"<p title=5'>{far}</p><p it's>b</p>") == [far, "b"]
     assert shown(f'<p title="5>{far}</p>') == [far]
+
+
+def words(text):
+    return re.findall(r"\w+", text)
+
+
+def layouts():
+    """Hand-made pages without article or main, and the text that a reader would call the article."""
+    a, out = [prose(100 + i, 60) for i in range(40)], []
+    nav = "<ul class='nav'><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul>"
+    foot = "<div id='footer'><p>Copyright 2020. All rights reserved.</p></div>"
+    side = f"<div class='sidebar'><h3>Related</h3><p>{a[30]}</p></div>"
+    talk = f"<div id='comments'><p>{a[31]}</p><p>{a[32]}</p></div>"
+    out.append((f"<html><body><h1>Title</h1>{a[0]}<br><br>{a[1]}</body></html>", ["Title", f"{a[0]} {a[1]}"]))
+    out.append((f"<html><body class=\"article\"><div><p>{a[2]}</p><p>{a[3]}</p></div></body></html>", [a[2], a[3]]))
+    out.append((f"{a[4]}\n\n{a[5]}", [f"{a[4]} {a[5]}"]))
+    out.append((f"<body>{nav}<h1>Head</h1><p>{a[6]}</p><p>{a[7]}</p>{foot}</body>", ["Head", a[6], a[7]]))
+    out.append((f"<body>{nav}<div><div><p>{a[8]}</p><p>{a[9]}</p></div></div>{side}{foot}</body>", [a[8], a[9]]))
+    out.append((f"<html><body id='story'>{nav}{a[10]}<br><br>{a[11]}{talk}{foot}</body></html>", [f"{a[10]} {a[11]}"]))
+    out.append((f"<div class='post'><p>{a[12]}</p><ul><li>{a[13]}</li><li>{a[14]}</li></ul></div>{talk}{foot}", [a[12], a[13], a[14]]))
+    out.append((f"<body>{nav}<div class='content'><h2>Sub</h2>{a[15]}<p>{a[16]}</p></div>{side}</body>", ["Sub", a[15], a[16]]))
+    out.append((f"<body><table><tr><td class='menu'>{nav}</td><td class='content'><p>{a[17]}</p><p>{a[18]}</p></td></tr></table>{foot}</body>", [a[17], a[18]]))
+    out.append((f"<body><div class='cookie-notice'>{a[33]}</div><h1>Big</h1><div>{a[19]}</div><div>{a[20]}</div>{talk}</body>", ["Big", a[19], a[20]]))
+    out.append((f"<html><body><p>{a[21]}</p><p>{a[22]}</p><p>{a[23]}</p></body></html>", [a[21], a[22], a[23]]))
+    out.append((f"<body>{nav}<section class='story'><p>{a[24]}</p><div class='ad-slot'>{a[34]}</div><p>{a[25]}</p></section>{side}{talk}{foot}</body>", [a[24], a[25]]))
+    return out
+
+
+def test_layouts_without_article_or_main(spark):
+    """Recall and precision over the words of hand-made layouts; the first three give their whole text."""
+    teach = spark.read.parquet(f"{FOLDER}/pages.parquet").select("page_id", "url", "html", "url", "url").toDF("page_id", "url", "html", "text", "label")
+    made = layouts()
+    extra = pages(spark, [(-1 - i, "u", h) for i, (h, _) in enumerate(made)])
+    got = {r.page_id: r.text for r in htmltext.main_texts(teach.unionByName(extra)).filter("page_id < 0").collect()}
+    found = total = shown = 0
+    for i, (_, want) in enumerate(made):
+        text, right = words(got[-1 - i]), words(" ".join(want))
+        common = len(set(text) & set(right))
+        print(i, round(common / len(set(right)), 2), round(common / max(1, len(set(text))), 2))
+        found, total, shown = found + common, total + len(set(right)), shown + len(set(text))
+        if i < 3:
+            assert [" ".join(x.split()) for x in got[-1 - i].split("\n")] == want
+    print("recall", found / total, "precision", found / shown)
+    assert found / total >= 0.9 and found / shown >= 0.9
+
+
+def test_no_teacher_and_no_names(spark):
+    """Where nothing can teach and nothing is named, all but named clutter is text."""
+    rows = [(1, "u", "just text"), (2, "u", "<body><p>a</p><div class='sidebar'>b</div><div>c</div></body>"), (3, "u", "<body class='article'>x<nav>y</nav></body>")]
+    assert {r.page_id: r.text for r in htmltext.main_texts(pages(spark, rows)).collect()} == {1: "just text", 2: "a\nc", 3: "x"}
+
+
+def test_marks_of_a_page_are_no_labels():
+    """Only marks that the teacher sets are labels, whatever a page brings."""
+    made = htmltext.teaching_pages('<body><article><p data-keep="0">a b c d e f</p></article><div data-keep="1">z</div></body>', 1)
+    page = htmltext.Page(made[0])
+    told = dict(zip(page.tag, htmltext._labelled(page)))
+    assert told["p"] == 1 and told["div"] == 0 and len(made) == 3
+
+
+def test_a_very_long_page(spark):
+    part = "<p>" + prose(7, 40) + "</p>"
+    body = part * 20_000
+    page = f"<html><body><div class='content'>{body}</div></body></html>"
+    got = htmltext.main_texts(pages(spark, [(1, "u", page)])).first().text
+    assert got == "\n".join([prose(7, 40)] * 20_000)

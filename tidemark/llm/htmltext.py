@@ -54,38 +54,57 @@ FEATURES = (["depth", "log_chars", "log_own_chars", "density", "link_share", "st
 
 
 class Page:
-    """Block elements in page order with their parents, and text segments between block boundaries."""
+    """Block elements in page order with their parents, and text segments between block boundaries.
+
+    Node 0 is the page, node 1 its body, whether or not a tag names it. Text that stands in the body itself is no part of
+    a block, so each run of it between two block boundaries is a leaf of its own (``#run``), judged like an element.
+    """
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.groups = ["html"], [-1], [0]
-        self.keep: list[int | None] = [None]
+        self.tag, self.parent, self.groups = ["html", "body"], [-1, 0], [0, 0]
+        self.keep: list[int | None] = [None, None]
         self.segments: list[tuple[int, str, bool]] = []  # node, raw text, inside a link; node -1: a block boundary
         self._read(source)
 
     def _open(self, tag: str, attrs: str, at: int) -> int:
+        self.tag.append(tag)
+        self.parent.append(at)
+        self.groups.append(self._mask([tag], attrs))
+        self.keep.append(self._told(attrs))
+        return len(self.tag) - 1
+
+    @staticmethod
+    def _mask(parts: list[str], attrs: str) -> int:
         mask = 0
-        parts = [tag] + [p.lower() for v in _NAMES.findall(attrs) for p in _PART.findall(v)] if attrs else [tag]
-        for p in parts:
+        for p in parts + [p.lower() for v in _NAMES.findall(attrs) for p in _PART.findall(v)] if attrs else parts:
             g = _GROUP_OF.get(p)
             if g is not None:
                 mask |= 1 << g
-        self.tag.append(tag)
-        self.parent.append(at)
-        self.groups.append(mask)
+        return mask
+
+    @staticmethod
+    def _told(attrs: str) -> int | None:
         told = re.search(r'data-keep="([01])"', attrs) if attrs else None
-        self.keep.append(int(told[1]) if told else None)
-        return len(self.tag) - 1
+        return int(told[1]) if told else None
 
     def _read(self, source: str) -> None:
-        stack, at, links, n = [0], 0, 0, len(source)
+        stack, at, links, n, run = [0, 1], 0, 0, len(source), -1
         add = self.segments.append
+
+        def text(value: str) -> None:
+            nonlocal run
+            node = stack[-1]
+            if node == 1 and run < 0 and not value.isspace():
+                run = self._open("#run", "", 1)
+            add((run if node == 1 and run >= 0 else node, value, links > 0))
+
         while at < n:
             m = _TOKEN.search(source, at)
             if not m:
-                add((stack[-1], source[at:], links > 0))
+                text(source[at:])
                 break
             if m.start() > at:
-                add((stack[-1], source[at:m.start()], links > 0))
+                text(source[at:m.start()])
             at = m.end()
             if m[2] is None:
                 continue
@@ -100,17 +119,22 @@ class Page:
                 continue
             if tag not in BLOCKS:
                 if tag in ("br", "img", "input"):
-                    add((stack[-1], " ", links > 0))
+                    text(" ")
                 continue
             add((-1, "", False))
-            links = 0
+            links, run = 0, -1
+            if tag in ("html", "body"):
+                # Their names tell as others' do, though not the word "body" itself; the first tag counts.
+                i = 0 if tag == "html" else 1
+                if not m[1] and not self.groups[i]:
+                    self.groups[i] = self._mask([], m[3])
+                    self.keep[i] = self._told(m[3]) if self.keep[i] is None else self.keep[i]
+                continue
             if m[1]:
                 names = [self.tag[i] for i in stack]
-                if tag in names[1:]:
+                if tag in names[2:]:
                     del stack[len(names) - 1 - names[::-1].index(tag):]
                 continue
-            if tag in ("html", "body"):
-                continue
             if self.tag[stack[-1]] == "p":
                 stack.pop()
             for i in range(len(stack) - 1, 0, -1):
@@ -239,11 +263,14 @@ _WORDS = {"menu": "menu", "header": "header", "footer": "footer", "side": "sideb
 
 
 def teaching_pages(source: str, seed: int) -> list[str]:
-    """The page with ``data-keep`` marks by its semantic tags, and a second layout of it that tells by class names.
+    """The page with ``data-keep`` marks by its semantic tags, a second layout of it that tells by class names, and a third
+    whose article stands in the body itself.
 
     Only pages with an ``article`` or ``main`` teach. The second layout has all kinds of clutter, some of it prose (reader
-    comments, notices, related stories) and some inside the article, so that length alone decides nothing.
+    comments, notices, related stories) and some inside the article, so that length alone decides nothing. In the third
+    the body has a telling name or none, and holds paragraphs, plain boxes or bare text cut by line breaks.
     """
+    source = source.replace("data-keep", "data-kept")  # only marks set here are labels
     found = re.search(r"<(article|main)\b[^>]*>(.*?)</\1>", source, re.S | re.I)
     if not found:
         return []
@@ -284,7 +311,16 @@ def teaching_pages(source: str, seed: int) -> list[str]:
     cut = pick.randint(0, len(outside))
     second = (f"<html><body>{''.join(outside[:cut])}<{holder[0]} class=\"{holder[1]}\" data-keep=\"1\">{''.join(paragraphs)}</{holder[0]}>"
               f"{''.join(outside[cut:])}</body></html>")
-    return [marked, second]
+    outside = [clutter(k) for k in pick.sample(kinds, pick.randint(0, 5))]
+    cut = pick.randint(0, len(outside))
+    parts = [re.sub(r"<[^>]*>", " ", x).strip() for x in re.split(r"(?=<p>)", body)]
+    shape = pick.choice(["bare", "bare", "p", "box", "boxes"])
+    text = "<br><br>".join(x for x in parts if x) if shape == "bare" else "".join(f"<p>{x}</p>" for x in parts if x)
+    text = {"box": f"<div>{text}</div>", "boxes": f"<div><div>{text}</div></div>"}.get(shape, text)
+    title = pick.choice(["", f"<h1>{pick.choice(prose)[:40]}</h1>"])
+    name = pick.choice(["", "", ' class="article"', ' class="post"', ' id="story"', ' class="page"'])
+    third = f"<html><body{name} data-keep=\"1\">{''.join(outside[:cut])}{title}{text}{''.join(outside[cut:])}</body></html>"
+    return [marked, second, third]
 
 
 def _labelled(page: Page) -> np.ndarray:
@@ -298,7 +334,7 @@ def _labelled(page: Page) -> np.ndarray:
 def fitted_trees(pages: DataFrame, key: str, source: str, limit: int = MAX_PAGES, rounds: int = ROUNDS, depth: int = DEPTH) -> Trees | None:
     """Trees learnt from the nodes of at most ``limit`` pages; None where no page can teach."""
     sample = (pages.select(F.xxhash64(F.lit(42), F.col(f"`{key}`")).alias("draw"), no_null(F.col(f"`{source}`")).alias("source"))
-              .filter(F.col("source").rlike("(?i)<(article|main)[ >]") & (F.length("source") < 200_000)).orderBy("draw", "source").limit(limit))
+              .filter(F.col("source").rlike("(?i)<(article|main)[ >]")).orderBy("draw", "source").limit(limit))
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,14 +356,17 @@ def fitted_trees(pages: DataFrame, key: str, source: str, limit: int = MAX_PAGES
 def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html", limit: int = MAX_PAGES) -> DataFrame:
     """``key``, ``url`` and ``text``: the main text of every row's whole page, blocks joined by a line feed.
 
-    Null and empty pages, and pages on which no node is in the article, give an empty text. Broken markup is read
-    as browsers do in the main (implied ends, stray end tags, open comments). Where no page can teach the trees, nodes
-    count as inside by their class names alone. Repeated rows stay, other columns are not looked at, an empty table
-    gives no rows. A task holds one batch of pages and one page's nodes.
+    Null and empty pages, and pages on which no node is in the article, give an empty text. Text in the body itself and
+    pages without any tag are judged like other text. Broken markup is read as browsers do in the main (implied ends,
+    stray end tags, open comments). What RAW names (scripts, styles, title, text fields, and the content of noscript,
+    template, iframe and svg) is never text. Where no page can teach the trees, nodes count as inside by their class names
+    alone, and on pages without a telling name everything that is not named as clutter. Repeated rows stay, other columns
+    are not looked at, an empty table gives no rows. A task holds one batch of pages and one page's nodes.
     """
     trees = fitted_trees(pages, key, source, limit)
     rows = pages.select(F.col(f"`{key}`"), F.col(f"`{url}`"), F.col(f"`{source}`"))
-    good, bad = FEATURES.index("above_content"), [FEATURES.index(f"above_{g}") for g in GROUPS if g != "content"]
+    good, bad = [FEATURES.index(f"{w}_content") for w in ("own", "above")], [FEATURES.index(f"{w}_{g}") for g in GROUPS if g != "content" for w in ("own", "above")]
+    named = FEATURES.index("below_content")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,7 +376,11 @@ def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", source:
                 parsed = [Page(x or "") for x in column.slice(first, 64).to_pylist()]
                 x = [p.features() for p in parsed]
                 every = np.concatenate(x)
-                chance = (trees.probability(every) if trees else 0.9 * every[:, good] * (every[:, bad].max(axis=1) < 1) + 0.05)
+                if trees:
+                    chance = trees.probability(every)
+                else:
+                    told = np.concatenate([np.where(o[0, named] > 0, o[:, good].max(axis=1), 1.0) for o in x])
+                    chance = 0.9 * told * (every[:, bad].max(axis=1) < 1) + 0.05
                 at = 0
                 for page, own in zip(parsed, x):
                     part = chance[at:at + len(own)].copy()
