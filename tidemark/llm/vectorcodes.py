@@ -45,6 +45,16 @@ def squared(points: np.ndarray, book: np.ndarray) -> np.ndarray:
     return np.stack([((points - e) ** 2).sum(axis=1) for e in book], axis=1)
 
 
+def _gaps(points: np.ndarray):
+    """A function of a row's number: exact squared distances of all rows to it; one product where floats are exact."""
+    most = int(np.abs(points).max(initial=0))
+    if 4 * most * most * max(points.shape[1], 1) >= 1 << 53:
+        return lambda i: ((points - points[i]) ** 2).sum(axis=1)
+    exact = points.astype(np.float64)
+    norms = (exact * exact).sum(axis=1)
+    return lambda i: norms - 2 * (exact @ exact[i]) + norms[i]
+
+
 def cover_tree(points: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
     """The points in tree order, and the nodes level by level.
 
@@ -55,7 +65,8 @@ def cover_tree(points: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, np.nda
     of cumulative sums, and its children a range of nodes. ``radius`` is the exact largest distance to a point below.
     """
     n = len(points)
-    near, owner = ((points - points[0]) ** 2).sum(axis=1), np.zeros(n, np.int64)
+    gaps = _gaps(points)
+    near, owner = gaps(0), np.zeros(n, np.int64)
     chosen, snapshots, taken = [0], [owner.copy()], 1
     reach = int(near.max())
     most = max(1, n // leaf)
@@ -71,7 +82,7 @@ def cover_tree(points: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, np.nda
                 break
             while 4 * distance <= reach:
                 reach //= 4
-        own = ((points - points[far]) ** 2).sum(axis=1)
+        own = gaps(far)
         closer = own < near
         near[closer], owner[closer] = own[closer], len(chosen)
         chosen.append(far)
