@@ -56,12 +56,18 @@ def test_documents_removed(spark, limit):
     assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(k) for k, t in ROWS if not plain(t, ITEMS)[-1])
 
 
-def test_spans_removed(spark):
+@pytest.mark.parametrize("limit", [decontaminate.MAX_BROADCAST_WORDS, 0])
+def test_spans_removed(spark, limit):
     frame = documents(spark, [(1, "One two. " + B + " Three!"), (2, None), (3, "Éa, two three; four")])
-    got = {r.doc_id: r.text for r in decontaminate.decontaminated(frame, benchmark(spark), mode="spans").collect()}
-    assert got == {1: "One two. . Three!", 2: None, 3: "; four"}
-    with pytest.raises(ValueError):
-        decontaminate.decontaminated(frame, benchmark(spark), mode="spans", max_words=0)
+    out = decontaminate.decontaminated(frame, benchmark(spark), mode="spans", max_words=limit)
+    assert out.columns == frame.columns
+    assert {r.doc_id: (r.text, r.key) for r in out.collect()} == {1: ("One two. . Three!", "x"), 2: (None, "x"), 3: ("; four", "x")}
+
+
+def test_spans_are_the_same_beyond_the_bound(spark):
+    frame = documents(spark, ROWS)
+    texts = lambda limit: sorted(str((r.doc_id, r.text)) for r in decontaminate.decontaminated(frame, benchmark(spark), mode="spans", max_words=limit).collect())
+    assert texts(decontaminate.MAX_BROADCAST_WORDS) == texts(0)
 
 
 def test_empty_tables(spark):

@@ -203,15 +203,26 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text
                    max_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
     """The documents with all their columns, without the contaminated ones, or (``spans``) without the hit words.
 
-    Other documents stay as they are. Spans are only cut with a benchmark inside the broadcast bound.
+    Other documents stay as they are. A benchmark beyond the broadcast bound is joined in either mode, with the same result.
     """
     index = benchmark_index(documents, benchmark, max_words=max_words)
-    if index is None and mode == "documents":
-        packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("key"), F.col(f"`{text}`").alias("text"))
-        return report(_joined_hits(packed, benchmark), "key").filter("not contaminated").select("key.*")
+    names = documents.columns
+    place = names.index(text)
     if index is None:
-        raise ValueError("spans are cut with a benchmark inside the broadcast bound only")
-    place = documents.columns.index(text)
+        packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("key"), F.col(f"`{text}`").alias("text"))
+        hits = _joined_hits(packed, benchmark)
+        if mode == "documents":
+            return report(hits, "key").filter("not contaminated").select("key.*")
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                columns, old = batch.column(0).flatten(), batch.column(0).field(place)
+                new = [_without((t or "").encode(), [(s["start"], s["end"]) for s in spans]).decode() if spans else t
+                       for t, spans in zip(old.to_pylist(), batch.column(1).to_pylist())]
+                columns[place] = pa.array(new, old.type)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        return hits.select("key", "spans").mapInArrow(cut, documents.schema)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
