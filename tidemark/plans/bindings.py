@@ -163,13 +163,13 @@ class Views:
 
     @cached_property
     def headlines(self) -> DataFrame:
-        """First line of each document as a title, published 20 minutes apart."""
+        """First line with text of each document as a title, published 20 minutes apart."""
         return self.documents.select(
             "doc_id",
             F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 20 * cast(doc_id % 2160 as int), 0)").alias("time"),
-            F.substring_index("text", "\n", 1).alias("title"),
+            F.get(F.filter(F.split("text", "\n", -1), lambda line: line.rlike("[^ \t\r]")), F.lit(0)).alias("title"),
             F.col("source").alias("source"),
-        ).filter(F.length("title") > 0)
+        ).filter("title is not null")
 
     @cached_property
     def now(self):
@@ -291,7 +291,7 @@ SQL_VIEWS: dict[str, str] = {
  arg_min(value, {'a': ts0, 'b': event_id}) AS open, arg_max(value, {'a': ts0, 'b': event_id}) AS close
  FROM (SELECT *, ts AS ts0 FROM events WHERE value > 0) GROUP BY 1, 2""",
     "v_heads": """SELECT doc_id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(20 * (doc_id % 2160)) AS time,
- string_split(text, chr(10))[1] AS title, source FROM documents WHERE length(string_split(text, chr(10))[1]) > 0""",
+ title, source FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\r]'))[1] AS title FROM documents) WHERE title IS NOT NULL""",
     "v_vol": """SELECT *, CASE WHEN count(ret) OVER w = 20 THEN stddev_samp(ret) OVER w END AS vol20
  FROM (SELECT *, close / lag(close) OVER (PARTITION BY instrument ORDER BY session) - 1 AS ret FROM v_bars)
  WINDOW w AS (PARTITION BY instrument ORDER BY session ROWS 19 PRECEDING)""",
