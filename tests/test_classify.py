@@ -65,3 +65,44 @@ def test_walk_forward_trains_on_matured_rows_only(table):
     a, b = key(p), key(changed)
     assert a.keys() == b.keys() and len(a) == 100 and all(a[k] == pytest.approx(b[k]) for k in a)
     assert all(sum(v[:3]) == pytest.approx(1) for v in a.values())
+
+
+def area(score, up):
+    pos, neg = score[up], score[~up]
+    return np.mean((pos[:, None] > neg[None, :]) + 0.5 * (pos[:, None] == neg[None, :]))
+
+
+def test_walk_forward_report_equals_numpy(spark, table):
+    rows = table.withColumn("m", F.date_add("d", 5))
+    spans = [(str(D0 + dt.timedelta(days=k)), str(D0 + dt.timedelta(days=k + 150))) for k in (300, 450)]
+    p = C.walk_forward(rows, spans, "d", "m")
+    got = {r.instrument: r for r in C.walk_forward_report(p, "instrument", "d", draws=100).collect()}
+    every = p.collect()
+    for i in ("a", "b"):
+        own = [r for r in every if r.instrument == i]
+        y = np.array([int(r.label) for r in own])
+        prob, prior = (np.array([[r[c] for c in cols] for r in own]) for cols in (("p_down", "p_flat", "p_up"), ("prior_0", "prior_1", "prior_2")))
+        at = np.arange(len(y))
+        balanced = lambda q: np.mean([(q.argmax(1) == y)[y == k].mean() for k in range(3)])
+        moving = y != 1
+        r = got[i]
+        assert (r.n, r.folds) == (len(own), 2) and r.n == 300
+        assert (r.log_loss, r.prior_log_loss) == pytest.approx((-np.log(prob[at, y]).mean(), -np.log(prior[at, y]).mean()))
+        assert (r.balanced_accuracy, r.prior_balanced_accuracy) == pytest.approx((balanced(prob), balanced(prior)))
+        assert (r.auc_up, r.auc_up_vs_down) == pytest.approx((area(prob[:, 2], y == 2), area((prob[:, 2] - prob[:, 0])[moving], (y == 2)[moving])))
+        assert [r.share_0, r.share_1, r.share_2] == pytest.approx([np.mean(y == k) for k in range(3)])
+        assert r.log_loss_diff_lo < (r.log_loss - r.prior_log_loss) < r.log_loss_diff_hi and r.auc_up_lo < r.auc_up + 2e-3 and r.auc_up - 2e-3 < r.auc_up_hi
+
+
+def test_live_row_uses_no_unknown_label(spark):
+    """The newest row is judged, and labels that mature after it change nothing."""
+    rng = np.random.default_rng(3)
+    rows = [("a", D0 + dt.timedelta(days=t), D0 + dt.timedelta(days=t + 5), float(rng.normal()), float(rng.normal()), int(rng.integers(0, 3))) for t in range(300)]
+    schema = "instrument string, d date, m date, x0 double, x1 double, y int"
+    changed = [r if r[2] <= rows[-1][1] else (*r[:5], 0) for r in rows]
+    unknown = [r if r[2] <= rows[-1][1] else (*r[:5], None) for r in rows]
+    live = lambda rs: C.live_direction(spark.createDataFrame(rs, schema), ["x0", "x1"], "y", "instrument", "d", "m").first()
+    a, b, c = live(rows), live(changed), live(unknown)
+    assert a.d == rows[-1][1] and a.n_train == 295 and a.p_down + a.p_flat + a.p_up == pytest.approx(1)
+    for other in (b, c):
+        assert [a.p_down, a.p_up] == pytest.approx([other.p_down, other.p_up])

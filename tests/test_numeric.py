@@ -164,3 +164,22 @@ def test_phase_cases(spark, seq, want):
     df = spark.createDataFrame([("s", dt.date(2020 + i // 12, i % 12 + 1, 1), p) for i, p in enumerate(seq)], "series_id string, month date, phase string")
     got = M.phase_episodes(df).orderBy("start").collect()
     assert [(r.phase, r.months) for r in got] == want and [r.ongoing for r in got] == [False] * (len(want) - 1) + [True]
+
+
+def test_auc_bootstrap_is_resampling(spark):
+    """Against areas of the drawn months' rows themselves, ties and all."""
+    import hashlib
+
+    rng = np.random.default_rng(9)
+    rows = [(g, f"m{b}", float(x), bool(u)) for g in "ab" for b in range(7) for x, u in zip(np.round(rng.random(30), 1), rng.random(30) < 0.4)]
+    df = spark.createDataFrame(rows + [("a", "m1", None, True)], "g string, block string, x double, up boolean")
+    got = {r.g: r for r in E.auc_bootstrap(df, "g", "block", "x", "up", 0.0, 1.0 + 1e-9, bins=100, draws=60).collect()}
+
+    def area(sample):
+        pos, neg = (np.array([x for _, _, x, u in sample if u == side]) for side in (True, False))
+        return np.mean((pos[:, None] > neg[None, :]) + 0.5 * (pos[:, None] == neg[None, :]))
+
+    for g in "ab":
+        own = [[r for r in rows if r[:2] == (g, f"m{b}")] for b in range(7)]
+        drawn = [area([r for s in range(7) for r in own[int(hashlib.md5(f"{d}-{s}".encode()).hexdigest()[:8], 16) % 7]]) for d in range(60)]
+        assert (got[g].point, got[g].lo, got[g].hi) == pytest.approx((area(sum(own, [])), *np.quantile(drawn, [0.025, 0.975]))) and got[g].blocks == 7

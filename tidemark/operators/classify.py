@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import prob
 from ..session import cut_lineage
-from .evaluate import date_blocks
+from . import ranks
+from .evaluate import STATISTICS, auc_bootstrap, block_bootstrap, date_blocks, month
+from .frames import names
+from .metrics import balanced_accuracy
 
 TEMPERATURES = (1.0, 0.75, 1.5, 2.0)
 
@@ -147,19 +150,68 @@ def forest_inner_loss(train: DataFrame, date: str, splits: int = 2, block: int =
 
 
 def walk_forward(rows_: DataFrame, spans: list[tuple[str, str]], date: str, matures: str, family: str = "linear", c: float = 0.01, years: int | None = None) -> DataFrame:
-    """Out-of-fold probabilities beside the training prior, one fit per test span."""
-    out = None
-    for t0, t1 in spans:
+    """Out-of-fold probabilities beside the training prior, one fit per test span; the fits share the cluster."""
+    def one(span: tuple[str, str]) -> DataFrame:
+        t0, t1 = span
         train = rows_.filter(F.col(matures) < F.lit(t0).cast("date"))
         if years:
             train = train.filter(F.col(date) >= F.add_months(F.lit(t0).cast("date"), -12 * years))
         test = rows_.filter((F.col(date) >= F.lit(t0).cast("date")) & (F.col(date) < F.lit(t1).cast("date")))
         prior = train.agg(*[F.avg((F.col("label") == k).cast("double")).alias(f"prior_{k}") for k in range(3)]).withColumn("span", F.lit(t0))
-        part = probabilities(fit(train, family, c), test).withColumn("span", F.lit(t0)).join(prior, "span")
-        out = part if out is None else out.unionByName(part)
+        return probabilities(fit(train, family, c), test).withColumn("span", F.lit(t0)).join(prior, "span")
+
+    with ThreadPoolExecutor(4) as pool:
+        parts = list(pool.map(one, spans))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
+def walk_forward_report(oof: DataFrame, by, date: str, draws: int = 2000) -> DataFrame:
+    """What out-of-fold probabilities are worth, one row per group, beside the training prior of their folds.
+
+    oof: by..., date, span, label, p_down, p_flat, p_up, prior_0..2. Balanced accuracy and log loss of model and prior, the
+    area under the curve of up, and of up against down without the flat rows, shares of the classes; intervals of the log
+    loss difference and of both areas come from the same draws of calendar months.
+    """
+    by = names(by)
+    f = cut_lineage(oof.withColumn("actual_class", F.col("label").cast("int")).withColumn("block", month(date)))
+    ps, priors = [F.col(p) for p in prob.P3], [F.col(f"prior_{k}") for k in range(3)]
+    loss = lambda cols: -F.ln(F.greatest(F.get(F.array(*cols), F.col("actual_class")), F.lit(1e-7)))
+    f = f.withColumns({"_l": loss(ps), "_p": loss(priors), "_up": F.col("actual_class") == 2, "_side": F.col("p_up") - F.col("p_down")})
+    g = f.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("span").alias("folds"), F.min(date).alias("first"), F.max(date).alias("last"),
+                           F.avg("_l").alias("log_loss"), F.avg("_p").alias("prior_log_loss"), *[F.avg((F.col("actual_class") == k).cast("double")).alias(f"share_{k}") for k in range(3)])
+    own = balanced_accuracy(f, by).select(*by, "balanced_accuracy")
+    as_prior = f.select(*by, "actual_class", *[c.alias(p) for c, p in zip(priors, prob.P3)])
+    prior = balanced_accuracy(as_prior, by).select(*by, F.col("balanced_accuracy").alias("prior_balanced_accuracy"))
+    moving = f.filter("actual_class <> 1")
+    ci = lambda frame, name: frame.select(*by, F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi"))
+    gain = block_bootstrap(f, by, "block", {"x": F.col("_l") - F.col("_p"), "n": F.lit(1.0)}, STATISTICS["mean"], draws)
+    parts = [own, prior, ranks.auc(f, by, "p_up", "_up").select(*by, F.col("auc").alias("auc_up")), ranks.auc(moving, by, "_side", "_up").select(*by, F.col("auc").alias("auc_up_vs_down")),
+             ci(gain, "log_loss_diff"), ci(auc_bootstrap(f, by, "block", "p_up", "_up", 0.0, 1.0, draws=draws), "auc_up"),
+             ci(auc_bootstrap(moving, by, "block", "_side", "_up", draws=draws), "auc_up_vs_down")]
+    for part in parts:
+        g = g.join(part, by, "left")
+    return g
+
+
+def live_direction(rows_: DataFrame, x, y: str, by, date: str, matures: str, years: int = 3, family: str = "linear", c: float = 0.01) -> DataFrame:
+    """Probabilities of each group's newest row with all features, from one model of the last ``years`` of labelled rows.
+
+    The newest row's label is not known yet; labels that mature after it are not used either, if data has been repeated.
+    """
+    by = names(by)
+    whole = rows_.dropna(subset=list(x))
+    newest = whole.groupBy(*by).agg(F.max(date).alias(date))
+    last = newest.agg(F.max(date)).scalar()
+    hist = whole.filter(F.col(y).isNotNull() & (F.col(matures) <= last))
+    train = cut_lineage(VectorAssembler(inputCols=list(x), outputCol="features").transform(hist.filter(F.col(date) >= F.add_months(hist.agg(F.max(date)).scalar(), -12 * years))).select(
+        F.col(y).cast("double").alias("label"), "features"))
+    live = VectorAssembler(inputCols=list(x), outputCol="features").transform(whole.join(newest, [*by, date])).select(*by, date, "features")
+    return probabilities(fit(train, family, c), live).withColumn("n_train", F.lit(train.count()))
+
+
 def contributions(model, rows_: DataFrame, x, key, k: int = 5) -> DataFrame:
     """(slope up - slope down) * (value - mean) of each row and feature, largest absolute first.
 

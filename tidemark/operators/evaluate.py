@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +54,56 @@ def block_bootstrap(df: DataFrame, by, block: str, sums: dict[str, Column], stat
                     F.least(F.lit(1.0), 2 * F.least("_ge", "_le")).alias("p_value"))
 
 
+def _auc(ups: np.ndarray, downs: np.ndarray) -> np.ndarray:
+    """Area under the curve of histograms (rows) over rising scores; ties count half."""
+    below = np.cumsum(downs, axis=1) - downs
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (ups * (below + downs / 2)).sum(axis=1) / (ups.sum(axis=1) * downs.sum(axis=1))
+
+
+def auc_bootstrap(df: DataFrame, by, block: str, score: str, positive: str, low: float = -1.0, high: float = 1.0, bins: int = 1000, draws: int = DRAWS,
+                  alpha: float = 0.05) -> DataFrame:
+    """Percentile interval of the area under the curve, blocks drawn with replacement like ``block_bootstrap`` draws them.
+
+    A rank statistic is no function of block sums, but it is one of joint histograms: rows fold to counts per (block, score
+    cell, class), a draw adds up the histograms of its blocks, and the area follows from running sums. Scores are told apart
+    to one of ``bins`` cells between ``low`` and ``high``; ties count half. A group keeps blocks times cells, whatever its
+    rows, and its draws are spread over all tasks. Draws without one of the classes say nothing.
+    """
+    by = names(by)
+    cell = F.least(F.greatest(F.floor((F.col(score) - low) / (high - low) * bins), F.lit(0)), F.lit(bins - 1))
+    rows_ = df.filter(F.col(score).isNotNull() & F.col(positive).isNotNull())
+    up = F.col(positive).cast("boolean").cast("bigint")
+    cells = rows_.groupBy(*by, block, cell.alias("_x")).agg(F.sum(up).alias("_p"), F.sum(1 - up).alias("_q"))
+    cells = cells.withColumn("_i", F.dense_rank().over(Window.partitionBy(*by).orderBy(block)) - 1)
+    one = cells.groupBy(*by).agg(F.collect_list(F.struct(F.col("_i").cast("bigint").alias("i"), F.col("_x").cast("bigint").alias("x"), "_p", "_q")).alias("_e"), (F.max("_i") + 1).alias("blocks"))
+    one = one.select(*by, "blocks", *[F.col(f"_e.{c}").alias(f"_a{k}") for k, c in enumerate(("i", "x", "_p", "_q"))])
+    size = -(-draws // SPREAD)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = one.withColumn("_lo", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(size)))).repartition(tasks, *by, "_lo")
+
+    @F.pandas_udf("array<double>")
+    def drawn(blocks: pd.Series, lo: pd.Series, i: pd.Series, x: pd.Series, p: pd.Series, q: pd.Series) -> pd.Series:
+        out = []
+        for n, first, rows, at, ups, downs in zip(blocks, lo, i, x, p, q):
+            hist = np.zeros((2, n, bins))
+            hist[0, rows, at], hist[1, rows, at] = ups, downs
+            last = min(first + size, draws)
+            weight = np.zeros((last - first, n))
+            for d in range(first, last):
+                for s in range(n):
+                    weight[d - first, int(hashlib.md5(f"{d}-{s}".encode()).hexdigest()[:8], 16) % n] += 1
+            # The first number is the area of the rows themselves.
+            out.append([None if np.isnan(a) else float(a) for a in np.concatenate([_auc(*hist.sum(axis=1, keepdims=True)), _auc(weight @ hist[0], weight @ hist[1])])])
+        return pd.Series(out)
+
+    d = spread.withColumn("_s", drawn("blocks", "_lo", *[f"_a{k}" for k in range(4)]))
+    d = d.select(*by, "blocks", F.get("_s", F.lit(0)).alias("point"), F.explode(F.slice("_s", 2, draws)).alias("_v"))
+    q = F.percentile("_v", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
+    return d.groupBy(*by).agg(F.first("point").alias("point"), F.first("blocks").alias("blocks"), q.alias("_q")).select(
+        *by, "point", "blocks", F.get("_q", F.lit(0)).alias("lo"), F.get("_q", F.lit(1)).alias("hi"))
+
+
 # Statistics by name, as expressions over block sums; a caller may pass any other function of the same shape.
 STATISTICS = {
     "mean": lambda s: F.try_divide(s["x"], s["n"]),

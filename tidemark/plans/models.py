@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as LB
@@ -216,10 +217,27 @@ def direction_walk_forward(v):
     d, x = labelled(v)
     t = C.assembled(d, x, "y", ["instrument", "prediction_date", "matures"])
     spans = [(f"{y}-01-01", f"{y + 1}-01-01") for y in (1998, 1999, 2000, 2001)]
-    p = C.walk_forward(t, spans, "prediction_date", "matures", years=3)
-    p = p.withColumn("actual_class", F.col("label").cast("int")).withColumn("score", F.col("p_up") - F.col("p_down")).withColumn("up", F.col("actual_class") == 2)
-    bal = X.balanced_accuracy(p, ["instrument", "span"])
-    return bal.join(ranks.auc(p, ["instrument", "span"], "score", "up"), ["instrument", "span"])
+    return C.walk_forward_report(C.walk_forward(t, spans, "prediction_date", "matures", years=3), "instrument", "prediction_date")
+
+
+@query("live_direction")
+def live_direction(v):
+    """The session after the newest: features are there, the label is not."""
+    f = B.instrument_features(v.bars)
+    d, x = labelled(v)
+    newest = f.select("instrument", F.date_add(F.col("session"), 1).alias("prediction_date"), *x, F.row_number().over(Window.partitionBy("instrument").orderBy(F.desc("session"))).alias("_i")).filter("_i = 1").drop("_i")
+    return C.live_direction(d.select("instrument", "prediction_date", "matures", "y", *x).unionByName(newest, allowMissingColumns=True), x, "y", "instrument", "prediction_date", "matures")
+
+
+@query("auc_bootstrap", f"""WITH a AS (SELECT model, strftime(target_date, '%Y-%m') AS block, least(greatest(CAST(floor((predicted_return + 0.5) * 1000) AS BIGINT), 0), 999) AS x, actual_return > 0 AS up FROM ({PRICE}) WHERE actual_return <> 0 AND predicted_return IS NOT NULL AND horizon_days = 1),
+ h AS (SELECT model, block, x, count(*) FILTER (up) AS p, count(*) FILTER (NOT up) AS q FROM a GROUP BY ALL), bk AS (SELECT model, block, row_number() OVER (PARTITION BY model ORDER BY block) - 1 AS bid, count(*) OVER (PARTITION BY model) AS nb FROM (SELECT DISTINCT model, block FROM h)),
+ dr AS (SELECT model, d, (('0x' || substr(md5(d || '-' || s), 1, 8))::BIGINT) % nb AS bid FROM (SELECT model, max(nb) AS nb FROM bk GROUP BY 1) CROSS JOIN (SELECT unnest(range(200)) AS d) JOIN (SELECT unnest(range(400)) AS s) ON s < nb),
+ wt AS (SELECT model, d, bid, count(*) AS w FROM dr GROUP BY ALL), dh AS (SELECT model, d, x, sum(w * p) AS p, sum(w * q) AS q FROM wt JOIN bk USING (model, bid) JOIN h USING (model, block) GROUP BY ALL UNION ALL SELECT model, -1, x, sum(p), sum(q) FROM h GROUP BY ALL),
+ ar AS (SELECT model, d, sum(p * (b + q / 2.0::DOUBLE)) / (sum(p)::DOUBLE * sum(q)) AS auc FROM (SELECT *, sum(q) OVER (PARTITION BY model, d ORDER BY x) - q AS b FROM dh) GROUP BY ALL)
+ SELECT model, round(max(auc) FILTER (d = -1), 6) AS point, any_value(nb) AS blocks, round(quantile_cont(auc, 0.025) FILTER (d >= 0), 6) AS lo, round(quantile_cont(auc, 0.975) FILTER (d >= 0), 6) AS hi FROM ar JOIN (SELECT model, max(nb) AS nb FROM bk GROUP BY 1) USING (model) GROUP BY model""")
+def auc_bootstrap(v):
+    p = price_rows(v).filter("horizon_days = 1 and actual_return <> 0 and predicted_return is not null").withColumn("block", E.month("target_date")).withColumn("up", F.col("actual_return") > 0)
+    return rounded(E.auc_bootstrap(p, "model", "block", "predicted_return", "up", -0.5, 0.5, draws=200))
 
 
 def oof_rows(v):
