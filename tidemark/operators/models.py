@@ -159,6 +159,34 @@ def _lags(df: DataFrame, by, order: str, value: str, lags: int, difference: bool
     return f.withColumns({f"_l{k}": F.lag("_d", k).over(series(by, order)) for k in range(1, lags + 1)})
 
 
+def companion_path(series_: int, lags: int, steps: int, difference: bool = True):
+    """Pandas UDF: coefficients of each series, recent changes (newest lag first) and level -> the first series' path.
+
+    The recursion is one matrix: the companion of constant, changes and their lags. It is applied to all rows at once, a
+    step at a time, so every horizon up to ``steps`` comes from one pass.
+    """
+    width = 1 + series_ * lags
+
+    @F.pandas_udf("array<double>")
+    def path(coefs: pd.Series, near: pd.Series, level: pd.Series) -> pd.Series:
+        n = len(level)
+        if not n:
+            return pd.Series([], dtype=object)
+        a = np.zeros((n, width, width))
+        a[:, 0, 0] = 1.0
+        a[:, 1:1 + series_] = np.array([[np.asarray(c, float) for c in row] for row in coefs])
+        a[:, 1 + series_:, 1:width - series_] = np.eye(width - 1 - series_)
+        z = np.concatenate([np.ones((n, 1)), np.array(near.tolist(), float)], axis=1)
+        at, out = level.to_numpy(float).copy(), np.empty((n, steps))
+        for k in range(steps):
+            z = np.einsum("nij,nj->ni", a, z)
+            at = at + z[:, 1] if difference else z[:, 1]
+            out[:, k] = at
+        return pd.Series(list(out))
+
+    return path
+
+
 def ar_forecasts(df: DataFrame, by, order: str, value: str, horizons=(1, 3, 6, 12), lags: int = 2, difference: bool = True, least: int = 48) -> DataFrame:
     """At every origin the AR forecast beside the random walk and the drift, for each horizon; expanding refits.
 
@@ -173,21 +201,9 @@ def ar_forecasts(df: DataFrame, by, order: str, value: str, horizons=(1, 3, 6, 1
     j = f.join(acc.select(*by, order, "coef"), [*by, order]).filter("coef is not null").withColumn("_recent", recent)
     top = max(horizons)
 
-    @F.pandas_udf("array<double>")
-    def path(coef: pd.Series, near: pd.Series, level: pd.Series) -> pd.Series:
-        out = []
-        for b, r, at in zip(coef, near, level):
-            r, total, steps = list(r), at, []
-            for _ in range(top):
-                step = b[0] + float(np.dot(b[1:], r))
-                r = [step, *r[:-1]]
-                total = total + step if difference else step
-                steps.append(float(total))
-            out.append(steps)
-        return pd.Series(out)
-
+    path = companion_path(1, lags, top, difference)
     drift = F.avg("_d").over(series(by, order).rowsBetween(Window.unboundedPreceding, 0)) if difference else F.lit(0.0)
-    j = j.withColumn("_path", path("coef", "_recent", value)).withColumn("_drift", drift)
+    j = j.withColumn("_path", path(F.array("coef"), "_recent", value)).withColumn("_drift", drift)
     w = series(by, order)
     items = F.array(*[F.struct(F.lit(h).alias("horizon"), F.get("_path", F.lit(h - 1)).alias("ar"), F.col(value).alias("rw"),
                                (F.col(value) + h * F.col("_drift")).alias("drift"), F.col(f"_a{h}").alias("actual")) for h in horizons])
@@ -195,8 +211,8 @@ def ar_forecasts(df: DataFrame, by, order: str, value: str, horizons=(1, 3, 6, 1
     return j.select(*by, order, "_e.*")
 
 
-def var_forecasts(df: DataFrame, by, order: str, values, horizon: int, lags: int = 2, least: int = 48) -> DataFrame:
-    """VAR on differences at every origin; the first series is forecast ``horizon`` steps ahead."""
+def var_paths(df: DataFrame, by, order: str, values, horizons=(1, 3, 6, 12), lags: int = 2, least: int = 48) -> DataFrame:
+    """VAR on differences at every origin; the first series is forecast at all ``horizons`` from one recursion."""
     by, values = names(by), list(values)
     w = series(by, order)
     f = df.withColumns({f"_d{i}": F.col(v) - F.lag(v).over(w) for i, v in enumerate(values)})
@@ -208,23 +224,32 @@ def var_forecasts(df: DataFrame, by, order: str, values, horizon: int, lags: int
         part = acc.withColumn(f"_c{i}", solve(len(x), 0.0, False, least)(M)).select(*by, order, f"_c{i}")
         out = part if out is None else out.join(part, [*by, order])
     near = F.array(*[F.col(f"_d{i}") for i in range(len(values))], *[F.col(f"_l{i}_{k}") for k in range(1, lags) for i in range(len(values))])
-    j = f.join(out, [*by, order]).filter("_c0 is not null").withColumn("_near", near).withColumn("_cs", F.array(*[F.col(f"_c{i}") for i in range(len(values))]))
-    size = len(values)
-
-    @F.pandas_udf("double")
-    def ahead(cs: pd.Series, recent: pd.Series, level: pd.Series) -> pd.Series:
-        res = []
-        for c, r, at in zip(cs, recent, level):
-            r, total = np.asarray(r, float), float(at)
-            b = np.asarray([np.asarray(v, float) for v in c])
-            for _ in range(horizon):
-                step = b[:, 0] + b[:, 1:] @ r
-                r = np.concatenate([step, r[:-size]])
-                total += step[0]
-            res.append(total)
-        return pd.Series(res)
-
-    return j.select(*by, order, ahead("_cs", "_near", F.col(values[0])).alias("var"), F.lead(values[0], horizon).over(w).alias("actual"))
+    j = f.withColumns({f"_a{h}": F.lead(values[0], h).over(w) for h in horizons}).join(out, [*by, order]).filter("_c0 is not null").withColumn("_near", near)
+    j = j.withColumn("_path", companion_path(len(values), lags, max(horizons))(F.array(*[F.col(f"_c{i}") for i in range(len(values))]), "_near", F.col(values[0])))
+    items = F.array(*[F.struct(F.lit(h).alias("horizon"), F.get("_path", F.lit(h - 1)).alias("var"), F.col(f"_a{h}").alias("actual")) for h in horizons])
+    return j.select(*by, order, F.explode(items).alias("_e")).select(*by, order, "_e.*")
+
+
+def var_forecasts(df: DataFrame, by, order: str, values, horizon: int, lags: int = 2, least: int = 48) -> DataFrame:
+    """The same at one horizon."""
+    return var_paths(df, by, order, values, (horizon,), lags, least).drop("horizon")
+
+
+def error_bands(oof: DataFrame, by, month: str, point: str, actual: str, horizons, low: float = 0.1, high: float = 0.9, least: int = 20) -> DataFrame:
+    """Rows with ``low``, ``high`` and ``n_errors``: the point less the quantiles of errors that were known at its origin.
+
+    oof: by..., ``month``, horizon, point, actual. An error of horizon h is known h months after its origin, so an origin
+    uses those of origins at least h months before; under ``least`` of them there is no band. Origins of a series are months.
+    """
+    by = names(by)
+    f = oof.withColumn("_m", F.year(month) * 12 + F.month(month)).withColumn("_e", F.col(point) - F.col(actual))
+    out = None
+    for h in horizons:
+        w = Window.partitionBy(*by).orderBy("_m").rangeBetween(Window.unboundedPreceding, -h)
+        part = f.filter(F.col("horizon") == h).withColumn("_q", F.percentile("_e", F.array(F.lit(low), F.lit(high))).over(w)).withColumn("n_errors", F.count("_e").over(w))
+        out = part if out is None else out.unionByName(part)
+    band = lambda i: F.when(F.col("n_errors") >= least, F.col(point) - F.get("_q", F.lit(i)))
+    return out.withColumns({"low": band(1), "high": band(0)}).drop("_m", "_e", "_q")
 
 
 def overlay_horizon(ends: DataFrame, target_last: Column, horizon: int) -> DataFrame:

@@ -156,10 +156,26 @@ def har_sigma(v):
 
 @query("ar_var_forecast")
 def ar_var_forecast(v):
+    """Both models at every horizon, each with a band from its own errors known by then."""
     ar = G.ar_forecasts(v.series, "series_id", "month", "value", horizons=(1, 3, 6))
     both = v.series.join(v.series2.withColumnRenamed("value", "other"), ["series_id", "month"])
-    var = G.var_forecasts(both, "series_id", "month", ["value", "other"], 3).select("series_id", "month", F.lit(3).alias("horizon"), "var")
-    return ar.join(var, ["series_id", "month", "horizon"], "left")
+    var = G.var_paths(both, "series_id", "month", ["value", "other"], (1, 3, 6))
+    banded = lambda f, name: G.error_bands(f, "series_id", "month", name, "actual", (1, 3, 6), least=10).withColumnsRenamed(
+        {"low": f"{name}_low", "high": f"{name}_high", "n_errors": f"{name}_errors"})
+    return banded(ar, "ar").join(banded(var, "var").drop("actual"), ["series_id", "month", "horizon"], "left")
+
+
+@query("ar1_bands", f"""WITH d AS (SELECT *, value - {lag('value', 1, 'PARTITION BY series_id ORDER BY month')} AS d, row_number() OVER (PARTITION BY series_id ORDER BY month) AS i FROM v_series), l AS (SELECT *, {lag('d', 1, 'PARTITION BY series_id ORDER BY month')} AS l FROM d),
+ c AS (SELECT *, regr_slope(d, l) OVER w AS b, regr_intercept(d, l) OVER w AS a, regr_count(d, l) OVER w AS n FROM l WINDOW w AS (PARTITION BY series_id ORDER BY month ROWS UNBOUNDED PRECEDING)),
+ f AS (SELECT c.series_id, c.month, h AS horizon, c.value, c.value + h * a / (1 - b) + (c.d - a / (1 - b)) * b * (1 - pow(b, h)) / (1 - b) AS ar, t.value AS actual, year(c.month) * 12 + month(c.month) AS m FROM c CROSS JOIN (SELECT unnest([1, 3, 6]) AS h) LEFT JOIN d t ON t.series_id = c.series_id AND t.i = c.i + h WHERE n >= 48 AND c.l IS NOT NULL),
+ q AS (SELECT f.series_id, f.month, f.horizon, count(e.ar - e.actual) AS n_errors, quantile_cont(e.ar - e.actual, 0.1) AS lo, quantile_cont(e.ar - e.actual, 0.9) AS hi FROM f LEFT JOIN f e ON e.series_id = f.series_id AND e.horizon = f.horizon AND e.m + e.horizon <= f.m GROUP BY ALL)
+ SELECT series_id, month, horizon, n_errors, round(ar / value - 1, 6) + 0.0::DOUBLE AS ar, round(CASE WHEN n_errors >= 10 THEN (ar - hi) / value - 1 END, 6) + 0.0::DOUBLE AS low, round(CASE WHEN n_errors >= 10 THEN (ar - lo) / value - 1 END, 6) + 0.0::DOUBLE AS high FROM f JOIN q USING (series_id, month, horizon)""")
+def ar1_bands(v):
+    """One lag has a closed form, which the check uses; points and bands as changes from the last value."""
+    ar = G.ar_forecasts(v.series, "series_id", "month", "value", horizons=(1, 3, 6), lags=1)
+    f = G.error_bands(ar, "series_id", "month", "ar", "actual", (1, 3, 6), least=10)
+    rel = lambda c: (F.col(c) / F.col("rw") - 1).alias(c)
+    return rounded(f.select("series_id", "month", "horizon", "n_errors", rel("ar"), rel("low"), rel("high")))
 
 
 @query("overlay_outlook")
