@@ -223,15 +223,21 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     return marked.join(ids, "fp").select(F.col(f"`{key}`"), "fp", "component_id")
 
 
+def _record_names(columns: list[str]) -> list:
+    """Two 64-bit hashes of a whole row with unlike seeds; a null column counts as such."""
+    parts = [x for c in columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    return [F.xxhash64(F.lit(seed), *parts).alias(name) for seed, name in ((1, "i1"), (2, "i2"))]
+
+
 def one_of_each_group(documents: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """The documents with all their columns, one row of each component: that of the smallest key (null is smallest), of
-    rows that repeat it the first.
+    unlike rows that share it the one whose 128-bit hash is least, of equal rows one.
 
-    Row numbers change with the splits of a scan, so the numbered rows are written and both steps read that table.
+    Rows are told apart by their contents, not by numbers that change with the splits of a scan, so no numbered copy of
+    the documents has to be written.
     """
-    numbered = written(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("record"),
-                                        F.monotonically_increasing_id().alias("row")), "numbered")
-    ids = numbered.select(F.struct(F.col(f"record.`{key}`").alias("key"), "row").alias("id"), F.col(f"record.`{text}`").alias("text"))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("record"), *_record_names(documents.columns))
+    ids = rows.select(F.struct(F.col(f"record.`{key}`").alias("key"), "i1", "i2").alias("id"), F.col(f"record.`{text}`").alias("text"))
     nodes = written(fingerprints(ids, "id", "text").groupBy("fp").agg(F.min("id").alias("low")), "nodes")
-    stay = labelled_fingerprints(nodes, radius).groupBy("root").agg(F.min("low").alias("low")).select("low.row")
-    return numbered.join(stay, "row", "left_semi").select("record.*")
+    stay = labelled_fingerprints(nodes, radius).groupBy("root").agg(F.min("low").alias("low")).select("low.i1", "low.i2")
+    return rows.join(stay, ["i1", "i2"], "left_semi").dropDuplicates(["i1", "i2"]).select("record.*")
