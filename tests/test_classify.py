@@ -106,3 +106,20 @@ def test_live_row_uses_no_unknown_label(spark):
     assert a.d == rows[-1][1] and a.n_train == 295 and a.p_down + a.p_flat + a.p_up == pytest.approx(1)
     for other in (b, c):
         assert [a.p_down, a.p_up] == pytest.approx([other.p_down, other.p_up])
+
+
+def test_choice_is_the_least_inner_loss(table):
+    """The setting, its temperature and loss against fits made one by one on the same blocks."""
+    train = table.filter(F.col("d") < D0 + dt.timedelta(days=550))
+    best = C.choose(train, "d", cs=(0.003, 0.3), weights=(False,), splits=2, block=80)
+    want = {}
+    for c in (0.003, 0.3):
+        parts = C.date_blocks(train, "d", 2, 80)
+        got = []
+        for s in (1, 2):
+            a, b = (parts.filter((F.col("split") == s) & (F.col("side") == side)).drop("split", "side") for side in ("train", "validate"))
+            got.append(C.losses(C.probabilities(C.fit(a, "linear", c), b), C.TEMPERATURES))
+        want[c] = {t: sum(g[t][0] for g in got) / 2 for t in C.TEMPERATURES}
+    c = min(want, key=lambda k: want[k][1.0])
+    t = min(C.TEMPERATURES, key=lambda k: want[c][k])
+    assert (best["c"], best["balanced"], best["temperature"]) == (c, False, t) and best["inner_loss"] == pytest.approx(want[c][t], rel=1e-6)

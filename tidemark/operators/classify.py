@@ -72,14 +72,18 @@ def choose(train: DataFrame, date: str, cs=(0.003, 0.01, 0.03), weights=(False,
     sides = [(s, parts.filter((F.col("split") == s) & (F.col("side") == "train")).drop("split", "side"),
               parts.filter((F.col("split") == s) & (F.col("side") == "validate")).drop("split", "side")) for s in range(1, splits + 1)]
     counts = {s: class_counts(a) for s, a, _ in sides}
-    for c in cs:
-        for w in weights:
-            got = [losses(probabilities(fit(a, "linear", c, w, counts=counts[s]), b), TEMPERATURES) for s, a, b in sides]
-            mean = {t: (sum(g[t][0] for g in got) / len(got), sum(g[t][1] for g in got) / len(got)) for t in TEMPERATURES}
-            key = (mean[1.0][0], -mean[1.0][1])
-            if best is None or key < best["key"]:
-                temp = min(TEMPERATURES, key=lambda t: mean[t][0])
-                best = {"key": key, "c": c, "balanced": w, "temperature": temp, "inner_loss": mean[temp][0]}
+    settings = [(c, w) for c in cs for w in weights]
+    # The fits do not depend on each other and share the cluster.
+    with ThreadPoolExecutor(6) as pool:
+        every = list(pool.map(lambda t: losses(probabilities(fit(t[2], "linear", t[0][0], t[0][1], counts=counts[t[1]]), t[3]), TEMPERATURES),
+                              [(cw, s, a, b) for cw in settings for s, a, b in sides]))
+    for i, (c, w) in enumerate(settings):
+        got = every[i * len(sides):(i + 1) * len(sides)]
+        mean = {t: (sum(g[t][0] for g in got) / len(got), sum(g[t][1] for g in got) / len(got)) for t in TEMPERATURES}
+        key = (mean[1.0][0], -mean[1.0][1])
+        if best is None or key < best["key"]:
+            temp = min(TEMPERATURES, key=lambda t: mean[t][0])
+            best = {"key": key, "c": c, "balanced": w, "temperature": temp, "inner_loss": mean[temp][0]}
     return best
 
 
