@@ -18,6 +18,7 @@ from ..operators import metrics as X
 from ..operators import models as G
 from ..operators import ranks
 from ..operators import sequences as Q
+from ..session import cut_lineage
 from .aggregates import PRICE, gap_buckets, leg_rows, price_rows, sigma_rows
 from .registry import query
 from .rounding import rd, rounded
@@ -419,6 +420,7 @@ def nested_choice(v):
 def scheduled_refit(v):
     """Each instrument by itself, and all of them as one panel with a shared model."""
     d, x = design(v)
+    d = cut_lineage(d)  # both forms read the rows from one table
     own = ["form", "instrument", "fold", "prediction_date", "alpha", "inner_blocks", "trained_at", "model_version", "n_train", "sigma", "future_return", "prediction"]
     alone = H.scheduled_refits(d, E.fold_table(d, "instrument", "prediction_date", FIRST), "instrument", "prediction_date", "matures", x, "future_return", "sigma")
     panel = d.withColumn("panel", F.lit("all"))
