@@ -1,6 +1,7 @@
 """Numbers against numpy: ranks, quantiles, ridge, volatility and autoregression, bootstrap, adaptive widths."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -19,6 +20,18 @@ def day(i):
     return D0 + dt.timedelta(days=int(i))
 
 
+def test_ranks_hold_when_cut_points_change_between_evaluations(spark, monkeypatch):
+    """Approximate percentiles depend on the order of arrival; here every evaluation draws other ones."""
+    approx = F.percentile_approx
+    moved = F.udf(lambda v: v + random.SystemRandom().uniform(-200, 200), "double")
+    monkeypatch.setattr(ranks.F, "percentile_approx", lambda c, cuts, accuracy: approx(moved(c), cuts, accuracy))
+    x = np.random.default_rng(1).permutation(2000).astype(float)
+    df = spark.createDataFrame([("g", float(v)) for v in x], "g string, x double").repartition(7)
+    q = ranks.quantiles(df, "g", "x", {"a": 0.1, "b": 0.9}).first()
+    assert (q.a, q.b) == pytest.approx((199.9, 1799.1))
+    assert {r.x: r.below for r in ranks.value_ranks(df, "g", "x").collect()} == {float(i): i for i in range(2000)}
+
+
 def test_quantiles_and_auc_of_a_hot_group(spark):
     rng = np.random.default_rng(0)
     x = np.round(rng.normal(size=3000), 2)
