@@ -54,3 +54,25 @@ def test_later_revision_never_leaks_back(spark):
     dec = spark.createDataFrame([(d(29),), (d(30),), (d(400),)], "decision date")
     got = {x.decision: x.v for x in known_at(versions, dec, "key", "observed", "decision").collect()}
     assert got == {d(29): 1.0, d(30): 2.0, d(400): 2.0}
+
+
+def test_news_in_window_meets_distinct_times_only(spark, monkeypatch):
+    """Many headlines of one time, many events of one time, tied scores and a shared event_id, against brute force."""
+    from tidemark.operators import events as E
+
+    joins, join = [], E.range_join
+    monkeypatch.setattr(E, "range_join", lambda *a, **k: joins.append(join(*a, **k)) or joins[-1])
+    t0 = dt.datetime(2024, 1, 1)
+    heads = [(i, t0 + dt.timedelta(minutes=20 * (i % 4)), ("The sale", "on", "quiet", "The ch on")[i % 7 % 4]) for i in range(400)]
+    events = [(i, t0 + dt.timedelta(minutes=30 + i % 3)) for i in range(300)] + [(1, t0 - dt.timedelta(minutes=15)), (2, t0 + dt.timedelta(minutes=32)), (None, t0), (9, None)]
+    score = lambda t: 3 * ("The" in t) + 2 * ("on" in t.lower()) + 2 * ("ch" in t.lower()) - 2 * ("sale" in t)
+    got = E.news_in_window(spark.createDataFrame(events, "event_id long, ts timestamp_ntz"), spark.createDataFrame(heads, "doc_id long, time timestamp_ntz, title string"),
+                           "The", ["on", "ch"], ["sale"])
+    rows = sorted(map(tuple, got.collect()), key=repr)
+    want = []
+    for e in {e for e, _ in events}:
+        pool = [(-score(t), at, d) for k, ts in events if k == e and ts for d, at, t in heads
+                if ts - dt.timedelta(minutes=90) <= at <= ts + dt.timedelta(minutes=15)]
+        want += [(e, i + 1, d, at, -s) for i, (s, at, d) in enumerate(sorted(pool)[:5])]
+    assert rows == sorted(want, key=repr)
+    assert sum(j.count() for j in joins) <= 5 * 4 * len({ts for _, ts in events})
