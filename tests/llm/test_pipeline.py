@@ -66,6 +66,20 @@ def test_repeats(steps):
         assert hashlib.sha256(left).hexdigest() == digest or 0 < len(left) - (len(r.text.encode()) - removed) < 8
 
 
+def test_passages_below_400_bytes(spark, tmp_path):
+    """A passage of 51 words and under 400 bytes in many documents is in none of them after the third stage."""
+    passage = " ".join(f"w{i}" for i in range(51))
+    rows = [r for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect() if r.doc_id % 4 == 0]
+    planted = [r.asDict() | {"text": f"{r.text}\n{passage}\n"} for r in rows]
+    spark.createDataFrame(planted, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "planted"))
+    docs = spark.read.parquet(str(tmp_path / "planted"))
+    for i, stage in enumerate(f for _, f in corpus_pipeline.STAGES[1:3]):
+        stage(spark, docs, FOLDER).write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+    left = [r.text for r in docs.collect()]
+    assert len(passage) < 400 and len(left) > 20 and not any(passage in t for t in left)
+
+
 def test_decontamination(spark, steps):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     want = {r.doc_id for r in steps[3][0].collect() if not plain_hits(r.text, items)[-1]}

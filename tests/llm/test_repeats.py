@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -79,6 +80,56 @@ def test_without_repeats_keeps_columns_and_characters(spark):
     assert prose(1, 20) in got[1].text and prose(3, 100)[5:] not in got[1].text and got[1].key == "x"
 
 
+def brute_passages(texts):
+    """The same for 51 consecutive words that start anywhere else too, with the white space between them."""
+    data = [(t or "").encode() for t in texts]
+    words = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", d)] for d in data]
+    runs = [[tuple(d[a:b] for a, b in w[i:i + 51]) for i in range(len(w) - 50)] for d, w in zip(data, words)]
+    seen, rows = Counter(r for x in runs for r in x), Counter(data)
+    out = []
+    for d, w, r in zip(data, words, runs):
+        hit = np.zeros(len(d), bool)
+        for i, x in enumerate(r):
+            hit[w[i][0]:w[i + 50][1]] |= seen[x] > 1
+        hit |= rows[d] > 1 and len(w) > 50
+        out.append((len(d), int(hit.sum()), int(np.sum(np.diff(np.concatenate([[0], hit.astype(int)])) == 1)),
+                    hashlib.sha256(bytes(b for b, h in zip(d, hit) if not h)).hexdigest()))
+    return out
+
+
+def short_words(seed, n):
+    pick = random.Random(seed)
+    return " ".join("".join(pick.choice("abcdeé") for _ in range(pick.randint(1, 5))) for _ in range(n))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_passages_of_over_50_words_below_400_bytes(spark, seed):
+    """Passages of 45 to 60 short words, with other white space, edited words, at the ends, in one text twice."""
+    pick = random.Random(seed)
+    passages = [short_words(10 * seed + i, pick.randint(45, 60)) for i in range(6)]
+    assert all(len(p.encode()) < 400 for p in passages)
+    rows = [] if seed else awkward()
+    for i in range(40):
+        parts = [short_words(1000 + 100 * seed + 3 * i + k, pick.randint(0, 70)) for k in range(3)]
+        for k in range(pick.randint(0, 3)):
+            p = pick.choice(passages).split(" ")
+            if pick.random() < 0.3:
+                p[pick.randrange(len(p))] += "x"
+            parts.insert(pick.randint(0, len(parts)), pick.choice([" ", "\n", " \t"]).join(p))
+        rows.append((100 + i, " ".join(parts)))
+    rows += [(500, passages[0] + "\n" + passages[0]), (501, passages[1]), (502, passages[1]), (503, " ".join(["ü"] * 70)), (504, "ab " * 90)]
+    out = repeats.repeated_bytes(documents(spark, rows), passages=True).collect()
+    want = brute_passages([t for _, t in rows])
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == Counter((k, *b) for (k, _), b in zip(rows, want))
+
+
+def test_without_repeats_cuts_a_short_passage(spark):
+    passage = short_words(7, 51)
+    rows = [(k, short_words(50 + k, 30) + f"\n{passage} " + short_words(70 + k, 30)) for k in range(3)]
+    got = {r.doc_id: r.text for r in repeats.without_repeats(documents(spark, rows), passages=True).collect()}
+    assert got == {k: t.replace(passage, "") for k, t in rows} and len(passage.encode()) < 400
+
+
 def test_empty_table(spark):
     assert repeats.repeated_bytes(documents(spark, awkward()).filter("false")).count() == 0
 
