@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluate as E
+from tidemark.operators import metrics as X
 from tidemark.operators import models as G
 from tidemark.operators import paths as P
 from tidemark.operators import ranks
@@ -235,3 +236,24 @@ def test_paths_and_bands_of_two_series(spark):
     again = {(q.month, q.horizon): q for q in G.error_bands(G.var_paths(moved, "k", "month", ["a", "b"], hs, 2, 48), "k", "month", "var", "actual", hs, least=10).collect()}
     q = again[months[end], h]
     assert (q.var, q.low, q.high, q.n_errors) == pytest.approx((r.var, r.low, r.high, r.n_errors))
+
+
+def test_scores_beside_both_naive_forecasts(spark):
+    """No change and the outcome 52 weeks earlier (at most a week more) over the rows that have one; beating zero alone is not enough."""
+    rng = np.random.default_rng(4)
+    y = {i: float(np.round(np.sin(i * 2 * np.pi / 364) + rng.normal() * 0.1, 6)) for i in range(800) if i % 9 not in (3, 4) and not 300 <= i < 320}
+    rows = [(m, "x", day(i), v, v * k) for i, v in y.items() for m, k in (("good", 0.95), ("fair", 0.5), ("flat", 0.0))]
+    rows += [("good", "y", day(0), 5.0, 1.0), ("good", "x", day(900), None, 1.0), ("fair", "x", day(300), 9.0, None), ("new", "z", day(1), 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "model string, s string, target_date date, y double, p double")
+    got = {r.model: r for r in X.score_errors(df, "model", "y", "p", "s").collect()}
+    known = y | {300: 9.0}
+    for m in ("good", "fair", "flat"):
+        mine = [(r[3], r[4], next((known[i] for i in range(n - 364, n - 372, -1) if i in known), None) if r[1] == "x" else None)
+                for r in rows if r[0] == m and None not in r for n in [(r[2] - D0).days]]
+        both = np.array([r for r in mine if r[2] is not None])
+        want = [np.abs(both[:, 0] - both[:, 1]).mean(), np.abs(both[:, 0]).mean(), np.abs(both[:, 0] - both[:, 2]).mean()]
+        g = got[m]
+        assert (g.n, g.n_both, g.direction_n) == (len(mine), len(both), sum(r[1] != 0 for r in mine)) and 0 < len(both) < len(mine)
+        assert (g.mae_both, g.mae_zero_both, g.mae_seasonal) == pytest.approx(want) and g.beats_both == (want[0] < min(want[1:]))
+    assert [got[m].beats_both for m in ("good", "fair", "flat", "new")] == [True, False, False, None]
+    assert got["fair"].beats_zero and got["new"].n_both == 0
