@@ -80,6 +80,16 @@ def test_passages_below_400_bytes(spark, tmp_path):
     assert len(passage) < 400 and len(left) > 20 and not any(passage in t for t in left)
 
 
+def test_written_texts_are_packed(spark, monkeypatch, tmp_path):
+    """The second stage's texts lie beside the third's shuffles, so they are packed more closely than Spark's default."""
+    monkeypatch.setattr("tidemark.llm.common.shared_folder", lambda _: str(tmp_path))
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER)
+    for name in ("one-of-each", "suspects"):
+        files = list(tmp_path.glob(f"{name}-*/part-*.parquet"))
+        assert files and all(f.name.endswith(".zstd.parquet") for f in files)
+
+
 def test_decontamination(spark, steps):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     want = {r.doc_id for r in steps[3][0].collect() if not plain_hits(r.text, items)[-1]}
